@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm._common import table
+from tessera.llm.mixing import mix_plan
+from tessera.llm.pieces import round_trip
+from tessera.llm.sharding import shard_rows
 from tessera.llm.simhash import simhash_groups
+from tessera.llm.token_counts import token_counts
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled SentencePiece segmentations of all documents and what they decode to, digested."""
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by the hash tree."""
+    return shard_rows(table(spark, sf_dir, "documents"), 16)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's part in the mix of all sources."""
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +35,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_pieces": op1_pieces,
+    "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
+    "op6_simhash": op6_simhash,
+    "op8_token_counts": op8_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
