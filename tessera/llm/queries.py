@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm._common import table
+from tessera.llm import html_text, language, toxicity
+from tessera.llm._common import bucket, table
 from tessera.llm.mixing import mix_plan
 from tessera.llm.pieces import round_trip
 from tessera.llm.sharding import shard_rows
@@ -18,6 +19,15 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; what is held out is never learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = bucket("doc_id", 4) == 2
+    model = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_offending")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by the hash tree."""
     return shard_rows(table(spark, sf_dir, "documents"), 16)
@@ -40,11 +50,27 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; what is held out is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket("doc_id", 3) == 1
+    model = language.train(docs.where(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_html": op9_html,
+    "op10_language": op10_language,
 }
 ORACLE_SQL: dict[str, str] = {}
