@@ -23,12 +23,15 @@ from tessera.llm._common import as_text
 SAMPLE = 4000
 #: Features kept at most, and the documents that must have one.
 FEATURES = 2000
-LEAST_DOCS = 6
+LEAST_DOCS = 3
 BEGINNINGS = (4, 5, 6)
 #: Evidence is at least so many times as common in toxic documents as in clean ones.
 RATIO = 5.0
-#: Features that training leaves with less are no evidence.
+#: Least prior weight of evidence; after training, evidence that leaves a sentence below this logit counts no more.
 LEAST_WEIGHT = 0.3
+LEAST_LOGIT = -3.5
+#: Prior bias of a sentence with evidence.
+BIAS = -4.0
 ROUNDS = 300
 #: Word weights kept at most by a worker; then it forgets them.
 KEPT_WORDS = 1 << 19
@@ -55,19 +58,19 @@ class Model:
         self.__init__(*state)
 
     def weight(self, word: str) -> float:
-        """The sum of a word's feature weights; 0 for a word without evidence."""
+        """The weight of a word's strongest feature; 0 for a word without evidence."""
         got = self.known.get(word)
         if got is None:
             if len(self.known) > KEPT_WORDS:
                 self.known.clear()
-            got = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+            got = self.known[word] = max(self.weights.get(f, 0.0) for f in features(word))
         return got
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of the sentences that hold evidence."""
         out = []
         for m in SENTENCE.finditer(text):
-            held = [w for w in map(self.weight, WORD.findall(m.group().lower())) if w]
+            held = [w for w in map(self.weight, dict.fromkeys(WORD.findall(m.group().lower()))) if w]
             if held:
                 out.append((m.start(), m.end(), 1 / (1 + float(np.exp(-np.clip(self.bias + sum(held), -60, 60))))))
         return out
@@ -82,8 +85,8 @@ class Model:
         return min(1.0, max(0.0, 1 - clean))
 
 
-def _evidence(texts: list[str], labels: np.ndarray) -> list[str]:
-    """The features whose share of toxic documents stands out most from the share of clean ones."""
+def _evidence(texts: list[str], labels: np.ndarray) -> dict[str, float]:
+    """Features of toxic documents and their prior weights: a low estimate of how much more common they are there."""
     counts = (Counter(), Counter())
     for text, y in zip(texts, labels):
         counts[y].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
@@ -91,14 +94,13 @@ def _evidence(texts: list[str], labels: np.ndarray) -> list[str]:
     rated = []
     for f, k in counts[1].items():
         other = counts[0].get(f, 0)
-        if k + other < LEAST_DOCS:
+        if k < LEAST_DOCS:
             continue
         a, b = (k + 0.5) / (n[1] + 1), (other + 0.5) / (n[0] + 1)
-        error = (1 / (k + 0.5) + 1 / (other + 0.5)) ** 0.5
-        z = np.log(a / b) / error
-        if z > 3.5 and a > RATIO * b:
-            rated.append((-z, f))
-    return [f for _, f in sorted(rated)[:FEATURES]]
+        low = np.log(a / b) - 1.5 * (1 / (k + 0.5) + 1 / (other + 0.5)) ** 0.5
+        if low > LEAST_WEIGHT and a > RATIO * b:
+            rated.append((-low, f))
+    return {f: -low for low, f in sorted(rated)[:FEATURES]}
 
 
 def learn(texts: list[str], labels: list[int]) -> Model:
@@ -106,16 +108,17 @@ def learn(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, np.int64)
     if not len(y) or not y.any() or y.all():
         return Model({}, 0.0, float(y.mean()) if len(y) else 0.0)
-    names = _evidence(texts, y)
+    prior = _evidence(texts, y)
+    names = list(prior)  # strongest first
     number = {f: i for i, f in enumerate(names)}
     word_ids: dict[str, list[int]] = {}
     sentence_of, feature_of, doc_of = [], [], []
     for d, text in enumerate(texts):
         for sentence in SENTENCE.findall(text.lower()):
             ids: list[int] = []
-            for w in WORD.findall(sentence):
+            for w in dict.fromkeys(WORD.findall(sentence)):
                 if w not in word_ids:
-                    word_ids[w] = [number[f] for f in features(w) if f in number]
+                    word_ids[w] = sorted(number[f] for f in features(w) if f in number)[:1]
                 ids += word_ids[w]
             if ids:
                 sentence_of += [len(doc_of)] * len(ids)
@@ -126,8 +129,8 @@ def learn(texts: list[str], labels: list[int]) -> Model:
     bare[d] = False
     # documents without evidence fix the leak: the share of toxic ones among them
     leak = float(np.clip((y[bare].sum() + 0.1) / (bare.sum() + 10), 1e-4, 0.2))
-    theta = np.zeros(len(names) + 1)
-    theta[-1] = -2.0
+    start = np.array([*prior.values(), BIAS])
+    theta = start.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
         z = np.clip(np.bincount(s, weights=theta[f], minlength=len(d)) + theta[-1], -30, 30)
@@ -137,11 +140,12 @@ def learn(texts: list[str], labels: list[int]) -> Model:
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         slope = pull[d] * p
         grad = np.append(np.bincount(f, weights=slope[s], minlength=len(names)), slope.sum())
-        grad += np.append(0.5 * theta[:-1], 0.05 * (theta[-1] + 2.0))
+        grad += theta - start
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({n: float(w) for n, w in zip(names, theta) if w > LEAST_WEIGHT}, float(theta[-1]), leak)
+    kept = theta[:-1] + theta[-1] > LEAST_LOGIT
+    return Model({n: float(w) for n, w, k in zip(names, theta, kept) if k}, float(theta[-1]), leak)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
