@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import html_text, language, toxicity
 from tessera.llm._common import bucket, table
+from tessera.llm.lattice import vector_groups
 from tessera.llm.mixing import mix_plan
 from tessera.llm.pieces import round_trip
 from tessera.llm.sharding import shard_rows
@@ -39,6 +40,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings."""
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents."""
     groups = simhash_groups(table(spark, sf_dir, "documents"))
@@ -68,6 +74,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op5_lattice": op5_lattice,
     "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_html": op9_html,
