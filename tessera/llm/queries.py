@@ -9,6 +9,7 @@ from tessera.llm import html_text, language, toxicity
 from tessera.llm._common import bucket, table
 from tessera.llm.lattice import vector_groups
 from tessera.llm.mixing import mix_plan
+from tessera.llm.neighbours import nearest_neighbours
 from tessera.llm.pieces import round_trip
 from tessera.llm.sharding import shard_rows
 from tessera.llm.simhash import simhash_groups
@@ -51,6 +52,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every hundredth."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_lattice": op5_lattice,
     "op6_simhash": op6_simhash,
+    "op7_neighbours": op7_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_html": op9_html,
     "op10_language": op10_language,
