@@ -23,6 +23,8 @@ SAMPLE = 1500
 #: Log-probability that a change of language costs.
 SWITCH = 10.0
 UNKNOWN = "und"
+#: Least share of letters of a document that is kept as one of a language.
+LEAST_SHARE = 0.4
 #: Words scored and kept at most by a worker; then it forgets them.
 KEPT_WORDS = 1 << 19
 GROUP = 1 << 23
@@ -204,6 +206,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return learn(picked.select("text", "lang").limit(2 * sample * len(counts)).toPandas())
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SHARE, switch: float = SWITCH) -> DataFrame:
+    """The rows, with their own columns, whose text has a language that labels at least `least` of its letters."""
+
+    @F.arrow_udf("double")
+    def share(texts: pa.Array) -> pa.Array:
+        return pa.array([score for _, score in predict(as_text(texts), model, switch)], pa.float64())
+
+    return docs.where(share(F.col(text_col).cast("string")) >= least)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """One row per input row: id, lang_pred string, score double.
 

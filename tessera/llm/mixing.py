@@ -125,7 +125,8 @@ def recipe(sized: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
         plan.append((r.source, r.source_size, target, passes, prefix))
     quotas = np.array([p[3] * BLOCKS + p[4] for p in plan], np.int64)
     dealt = split_tree(quotas, shards, np.random.default_rng(seed)) if plan else np.zeros((0, shards), np.int64)
-    return spark.createDataFrame([(*p, np.cumsum(d).tolist()) for p, d in zip(plan, dealt)], RECIPE)
+    # written, so that its small size is known and the rows need no shuffle to meet it
+    return settled(spark.createDataFrame([(*p, np.cumsum(d).tolist()) for p, d in zip(plan, dealt)], RECIPE))
 
 
 def _decide(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -165,7 +166,8 @@ def _fits(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
         for r in best:
             chosen[r.source].append(r.best["id"])
             gaps[r.source] -= r.best["size"]
-    return spark.createDataFrame(list(chosen.items()), T.StructType([T.StructField("source", T.StringType()), T.StructField("singles", T.ArrayType(kind))]))
+    shape = T.StructType([T.StructField("source", T.StringType()), T.StructField("singles", T.ArrayType(kind))])
+    return settled(spark.createDataFrame(list(chosen.items()), shape))
 
 
 def mix_plan(

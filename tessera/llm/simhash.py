@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessera.llm._common import as_bytes, ranges, runs, settled
 from tessera.llm._xxh64 import xxh64
@@ -152,3 +152,15 @@ def simhash_groups(
     moved = roots.join(least, "root").select("fp", "group_least")
     known = classes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
     return marked.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """The rows, with their own columns, of one document of each group: the one of least id.
+
+    Of rows with equal ids one stays; rows without an id count as one document.
+    """
+    groups = simhash_groups(docs, id_col, text_col, shingle, radius, tile)
+    stay = settled(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct())
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    nth = F.row_number().over(W.partitionBy(id_col).orderBy(id_col))
+    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")

@@ -184,6 +184,16 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return picked.mapInArrow(run, f"id {kind}, score double, n_offending int").withColumnRenamed("id", id_col)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.3) -> DataFrame:
+    """The rows, with their own columns, whose text scores less than `below`."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t) for t in as_text(texts)], pa.float64())
+
+    return docs.where(score(F.col(text_col).cast("string")) < below)
+
+
 def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """(id, start int, end int, probability double, sentence): every sentence of probability `least` or more, by characters."""
 
