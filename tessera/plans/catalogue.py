@@ -1,23 +1,8 @@
-"""The registered queries of the engine and the SQL that states their results."""
+"""All registered queries of the engine and the SQL that states their results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tessera.session import table
+from tessera.plans import metric_queries, pair_queries, selection_queries, text_queries, vector_queries, verdict_queries  # noqa: F401  they register themselves
+from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "pair_key"
-
-
-def pair_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised key of every conversation turn: trimmed, lower case, single spaces, no final dots."""
-    text = F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.rtrim(text, F.lit(" .")).alias("key"))
-
-
-QUERIES = {"pair_key": pair_key}
-ORACLE_SQL = {
-    "pair_key": r"""
-        SELECT conv_id, turn, rtrim(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), ' .') AS key
-        FROM conversations""",
-}
