@@ -124,7 +124,7 @@ def krippendorff_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     "spearman_by_lang",
     f"""WITH {SCORED}, ranked AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY len) + (count(*) OVER (PARTITION BY lang, len) - 1) / 2 AS ra,
             rank() OVER (PARTITION BY lang ORDER BY cues) + (count(*) OVER (PARTITION BY lang, cues) - 1) / 2 AS rb FROM scored)
-        SELECT lang, CASE WHEN min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 6) END AS rho FROM ranked GROUP BY lang""",
+        SELECT lang, CASE WHEN min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 6) ELSE 0 END AS rho FROM ranked GROUP BY lang""",
 )
 def spearman_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of length and cues; ranks come from counts of distinct values."""
@@ -138,8 +138,8 @@ def spearman_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = found.join(ranks("len", "ra"), ["lang", "len"]).join(ranks("cues", "rb"), ["lang", "cues"])
     n, a, b = F.count("*"), F.col("ra"), F.col("rb")
     spread = (n * F.sum(a * a) - F.sum(a) * F.sum(a)) * (n * F.sum(b * b) - F.sum(b) * F.sum(b))
-    rho = F.try_divide(n * F.sum(a * b) - F.sum(a) * F.sum(b), F.sqrt(spread))  # null where either is constant
-    return joined.groupBy("lang").agg(F.round(rho, 6).alias("rho"))
+    rho = F.try_divide(n * F.sum(a * b) - F.sum(a) * F.sum(b), F.sqrt(spread))
+    return joined.groupBy("lang").agg(F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("rho"))  # 0 where either is constant
 
 
 @query(

@@ -102,16 +102,15 @@ def cue_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cue_spans",
-    f"""WITH {SENTENCES}, toks AS (SELECT doc_id, ord, sentence, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}'']+') AS ws FROM sentences WHERE lang = 'en')),
+    f"""WITH {SENTENCES}, toks AS (SELECT doc_id, ord, sentence, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}'']+') AS ws FROM sentences)),
         hits AS (SELECT doc_id, ord, i, i - row_number() OVER (PARTITION BY doc_id, ord ORDER BY i) AS island FROM toks WHERE w IN {words_in(lexicons.EXPLICIT_CUES)})
         SELECT doc_id, ord, min(i) - 1 AS span_start, max(i) AS span_end FROM hits GROUP BY doc_id, ord, island""",
 )
 def cue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous half-open token spans of explicit cues: gaps and islands inside an array, without a shuffle."""
-    found = sentences(spark, sf_dir).where("lang = 'en'").withColumn("ws", text.words(F.col("sentence")))
-    at = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.element_at("ws", i).isin(lexicons.EXPLICIT_CUES))
-    at = F.when(F.size("ws") > 0, at)
-    held = found.select("doc_id", "ord", at.alias("at")).where(F.size("at") > 0)
+    # places of cues by one walk over the words; looking each place up would split the sentence again every time
+    at = F.array_compact(F.transform(text.words(F.col("sentence")), lambda w, i: F.when(w.isin(lexicons.EXPLICIT_CUES), i + 1)))
+    held = sentences(spark, sf_dir).select("doc_id", "ord", at.alias("at")).where(F.size("at") > 0)
     starts = F.filter("at", lambda i: ~F.array_contains("at", i - 1))
     ends = F.filter("at", lambda i: ~F.array_contains("at", i + 1))
     spans = held.select("doc_id", "ord", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("x"))
