@@ -165,7 +165,7 @@ def predict(texts: list[str], model: Model, switch: float = SWITCH) -> list[tupl
         words = [WORD.findall(t.lower()) for t in texts[begin:end]]
         counts = np.array([len(w) for w in words])
         index = np.array(model.numbered(words), np.int64)
-        labels = label_words(model.score, index, counts, switch) if model.langs else index
+        labels = label_words(model.score, index, counts, switch) if model.langs else np.zeros(len(index), np.int64)
         letters = np.array([len(w) for ws in words for w in ws], np.float64)
         text = np.repeat(np.arange(len(words)), counts)
         n = max(1, len(model.langs))

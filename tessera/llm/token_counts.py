@@ -30,7 +30,7 @@ FRESH, IN_L, IN_N, IN_O, JOIN, IN_WS, ONE_MORE, TWO_MORE = STATES = range(8)
 CHUNK = 1024
 #: Characters handled at once.
 GROUP = 1 << 20
-#: Slots of the transition table; it is emptied when half full.
+#: Slots of the transition table, a power of two; it begins anew when half full.
 SLOTS = 1 << 21
 # Code points of the White_Space property.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -254,7 +254,7 @@ class MergeTransducer:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of the keys; -1 where missing."""
-        slot = (keys * np.int64(-7046029254386353131)) >> np.int64(43) & (SLOTS - 1)
+        slot = (keys * np.int64(-7046029254386353131)) >> np.int64(20) & (SLOTS - 1)
         got = self.keys[slot]
         out = np.where(got == keys, slot, -1)
         todo = np.flatnonzero((got != keys) & (got != -1))
@@ -267,7 +267,7 @@ class MergeTransducer:
         return out
 
     def _insert(self, key: int, to: int, gain: int) -> None:
-        slot = (key * -7046029254386353131 & (1 << 64) - 1) >> 43 & (SLOTS - 1)
+        slot = (key * -7046029254386353131 & (1 << 64) - 1) >> 20 & (SLOTS - 1)
         while self.keys[slot] != -1:
             slot = (slot + 1) & (SLOTS - 1)
         self.keys[slot], self.next[slot], self.gain[slot] = key, to, gain
@@ -275,14 +275,17 @@ class MergeTransducer:
 
     def counts(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tokens of each word buffer[start : start + length]; longest words first."""
-        if self.used > SLOTS // 2 or len(self.states) > SLOTS // 4:
-            self._empty()
+        step = SLOTS // 4
+        return np.concatenate([np.zeros(0, np.int64), *(self._counts(buffer, starts[k : k + step], lengths[k : k + step]) for k in range(0, len(starts), step))])
+
+    def _counts(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """counts() of no more words than a quarter of the table's slots."""
         state = np.zeros(len(starts), np.int64)
         total = np.zeros(len(starts), np.int64)
         ends = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
         for k, n in enumerate(ends):
-            if self.used > SLOTS - (SLOTS >> 3):
-                # full within one batch: begin a new table with the states that are under way
+            if self.used > SLOTS // 2 or len(self.states) > SLOTS // 2:
+                # begin a new table with the states that are under way
                 under_way = [self.states[s] for s in state[:n]]
                 self._empty()
                 state[:n] = [self._state(s) for s in under_way]
