@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Every source's rows fall into BLOCKS blocks by a hash of their id, and a source's blocks have a permuted order
-of its own. A source's quota is a number of block draws: whole passes over its blocks, then a prefix of the
-permuted order that comes near the rest, then single rows that fit what is left. The quotas of all sources are
+of its own. A source's quota is a number of block draws: whole passes over its blocks, then a last pass that takes a
+prefix of the permuted order (or leaves one out, where that is the smaller part), and single rows that fit the rest. The quotas of all sources are
 split among the output shards from the root of a binary tree down: each node draws its left half's share of
 every source from the multivariate hypergeometric law, so that the shards partition the quotas exactly. A
 source's draws are then dealt to the shards in order, which keeps the shards' blocks disjoint; within a shard
@@ -98,6 +98,8 @@ RECIPE = T.StructType(
         T.StructField("source_size", T.LongType()),
         T.StructField("target", T.DoubleType()),
         T.StructField("passes", T.IntegerType()),
+        T.StructField("skips", T.BooleanType()),
+        T.StructField("goal", T.DoubleType()),
         T.StructField("prefix", T.IntegerType()),
         T.StructField("bounds", T.ArrayType(T.LongType())),
     ]
@@ -117,13 +119,16 @@ def recipe(sized: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
     plan = []
     for r, target in zip(rows, wanted):
         passes = int(target // r.source_size) if r.source_size else 0
-        rest = target - passes * r.source_size
+        goal = target - passes * r.source_size
+        # of a last pass that takes more than half, what it leaves out is chosen: the fewer words are the choice
+        if skips := goal > r.source_size / 2:
+            passes, goal = passes + 1, r.source_size - goal
         words = np.zeros(BLOCKS, np.int64)
         for b in r.blocks:
             words[b["rank"]] = b["words"]
-        prefix = int(np.searchsorted(np.cumsum(words), rest, side="right")) if rest > 0 else 0
-        plan.append((r.source, r.source_size, target, passes, prefix))
-    quotas = np.array([p[3] * BLOCKS + p[4] for p in plan], np.int64)
+        prefix = int(np.searchsorted(np.cumsum(words), goal, side="right")) if goal > 0 else 0
+        plan.append((r.source, r.source_size, target, passes, skips, goal, prefix))
+    quotas = np.array([p[3] * BLOCKS + (-p[6] if p[4] else p[6]) for p in plan], np.int64)
     dealt = split_tree(quotas, shards, np.random.default_rng(seed)) if plan else np.zeros((0, shards), np.int64)
     # written, so that its small size is known and the rows need no shuffle to meet it
     return settled(spark.createDataFrame([(*p, np.cumsum(d).tolist()) for p, d in zip(plan, dealt)], RECIPE))
@@ -136,17 +141,17 @@ def _decide(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 
 def _fits(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """(source, singles): ids that bring each source nearer its target than its prefix does, one more each round."""
+    """(source, singles): ids that bring each source nearer its goal than its prefix does, one more each round."""
     spark = sized.sparkSession
     ids = settled(
         _decide(sized, sources, seed)
-        .where("passes < 2 AND size > 0")
-        .groupBy("source", "source_size", "target", "passes", "id")
+        .where("goal > 0 AND size > 0")
+        .groupBy("source", "goal", "id")
         .agg(F.sum("size").alias("size"), F.sum(F.when(F.col("rank") < F.col("prefix"), F.col("size")).otherwise(0)).alias("drawn"))
     )
     gaps = {
         r.source: r.gap
-        for r in ids.groupBy("source").agg((F.first("target") - F.first("passes") * F.first("source_size") - F.sum("drawn")).alias("gap")).collect()
+        for r in ids.groupBy("source").agg((F.first("goal") - F.sum("drawn")).alias("gap")).collect()
     }
     kind = sized.schema["id"].dataType
     chosen: dict = {source: [] for source in gaps}
@@ -188,14 +193,14 @@ def mix_plan(
         rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     known = _decide(rows, sources, seed)
     known = known.join(singles, known["source"].eqNullSafe(singles["of_single"]), "left")
-    drawn = F.col("rank") < F.col("prefix")
-    single = ~drawn & F.coalesce(F.array_contains("singles", F.col("id")), F.lit(False))
-    draws = F.concat(
-        F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.when(k < F.col("passes"), k * BLOCKS + F.col("rank"))),
-        F.array(F.when(drawn, F.col("passes") * BLOCKS + F.col("rank")), F.when(single, F.col("rank"))),
-    )
+    picked = (F.col("rank") < F.col("prefix")) | F.coalesce(F.array_contains("singles", F.col("id")), F.lit(False))
+    last = F.col("passes") - 1
+    # numbers of a row's draws among its source's: pass by pass, in the permuted order of blocks
+    whole = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.when((k < F.col("passes")) & ~(F.col("skips") & (k == last)), k * BLOCKS + F.col("rank")))
+    extra = F.when(F.col("skips") & ~picked, last * BLOCKS + F.col("rank") - F.col("prefix")).when(~F.col("skips") & picked, F.col("passes") * BLOCKS + F.col("rank"))
+    draws = F.concat(whole, F.array(extra))
     to_shard = lambda d: F.size(F.filter(F.col("bounds"), lambda b: b <= d)).cast("int")
-    placed = F.transform(F.array_compact(draws), lambda d: F.least(to_shard(d), F.lit(shards - 1)))
+    placed = F.transform(F.array_compact(draws), lambda d: F.least(to_shard(d), F.lit(shards - 1)))  # singles count beside the blocks
     out = known.withColumn("shards", placed).withColumn("copies", F.size("shards"))
     head = ["row"] if carry else [F.col("id").alias(id_col), F.col("size")]
     return out.select(*head, "source_size", "target", "copies", "shards")
