@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
+RANGES = 64
+
+
+def running(df: DataFrame, by: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds running sums (name -> column) in the order of a numeric column without equal values.
+
+    The values fall into RANGES ranges by approximate quantiles; sums run within each range in its own task, and
+    start from the total of the ranges before it. So no task sorts all rows.
+    """
+    cuts = df.agg(F.percentile_approx(by, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), 10000).alias("_cuts"))
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(by)))).drop("_cuts")
+    way = F.desc if descending else F.asc
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    upto = W.orderBy(way("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES rows
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_{name}").over(upto), F.lit(0)).alias(f"_{name}") for name in sums])
+    within = W.partitionBy("_range").orderBy(way(by)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = placed.join(F.broadcast(before), "_range")
+    return joined.withColumns({name: F.sum(c).over(within) + F.col(f"_{name}") for name, c in sums.items()}).drop("_range", *[f"_{name}" for name in sums])
+
+
 def curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row per distinct score, highest first: tp and fp if it is the threshold, and the totals.
 
-    Rows are reduced to distinct scores before any window, so that the window sees scores, not rows. Its running
-    sums are over ranges of scores: partial sums of each range, then the sums of the ranges before it.
+    Rows are reduced to distinct scores before any window; absent and undefined scores are lowest.
     """
     s = F.coalesce(F.when(F.isnan(F.col(score).cast("double")), None).otherwise(F.col(score).cast("double")), F.lit(-1e9))
     counts = scored.groupBy(s.alias("threshold")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = counts.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    return counts.crossJoin(F.broadcast(totals)).withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    return running(counts.crossJoin(F.broadcast(totals)), "threshold", {"tp": "p", "fp": "n"}, descending=True)
 
 
 def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -86,10 +104,9 @@ def krippendorff_ordinal(ratings: DataFrame, unit: str, value: str) -> DataFrame
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the average rank of each value, by counts of distinct values."""
+    """Adds the average rank of each value, from counts of distinct values."""
     counts = df.groupBy(value).agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranks = counts.select(value, (upto - (F.col("_k") - 1) / 2).alias(name))
+    ranks = running(counts, value, {"_upto": "_k"}).select(value, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(name))
     return df.join(ranks, value)
 
 

@@ -151,8 +151,7 @@ def spearman_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cliffs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mann-Whitney U and Cliff's delta of lengths of toxic and other documents."""
     counts = scored(spark, sf_dir).groupBy("len").agg(F.count_if(F.col("label") == 1).cast("double").alias("p"), F.count_if(F.col("label") == 0).cast("double").alias("n"))
-    below = F.sum("n").over(W.orderBy("len").rowsBetween(W.unboundedPreceding, W.currentRow))
-    parts = counts.withColumn("w", F.col("p") * (below - F.col("n") / 2)).agg(F.sum("w").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    parts = metrics.running(counts, "len", {"below": "n"}).withColumn("w", F.col("p") * (F.col("below") - F.col("n") / 2)).agg(F.sum("w").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return parts.select(F.round("u", 3).alias("u"), F.round(2 * F.col("u") / (F.col("p") * F.col("n")) - 1, 6).alias("delta"))
 
 

@@ -95,3 +95,17 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, f"v{i}") for i in range(40)] + [(i + 1, f"v{i}") for i in range(39)] + [(100, "x"), (None, "v1"), (101, None)], "n int, v string")
     found = {r.node: r.component for r in shared_components(links, "n", "v").collect()}
     assert found == {i: 0 for i in range(40)} | {100: 100}
+
+
+def test_running_sums_over_ranges(spark):
+    from tessera.operators import metrics
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("v"), (F.col("id") % 3).alias("w"))
+    for descending in (False, True):
+        held = sorted(((r.v, r.w, r.s) for r in metrics.running(rows, "v", {"s": "w"}, descending).collect()), reverse=descending)
+        total = 0
+        for v, w, s in held:
+            total += w
+            assert s == total
+    ranked = metrics.average_ranks(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "v double"), "v", "r")
+    assert sorted(r.r for r in ranked.collect()) == [1, 2.5, 2.5, 4]
