@@ -26,8 +26,8 @@ UNKNOWN = "und"
 #: Least share of letters of a document that is kept as one of a language.
 LEAST_SHARE = 0.4
 #: Words scored and kept at most by a worker; then it forgets them.
-KEPT_WORDS = 1 << 19
-GROUP = 1 << 23
+KEPT_WORDS = 1 << 17
+GROUP = 1 << 22
 WORD = re.compile(r"[^\W\d_]+")
 # First and last code points of script ranges; ranges of one number belong together.
 SCRIPT_RANGES = [

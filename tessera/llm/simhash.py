@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.llm._common import as_bytes, ranges, runs, settled
 from tessera.llm._xxh64 import xxh64
@@ -24,6 +24,8 @@ TILE = 32768
 BLOCK = 1 << 19
 #: Bytes of text hashed at once.
 GROUP = 1 << 20
+#: Bits that mark ids which may go, whatever their number.
+SLOTS = 1 << 23
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -154,13 +156,34 @@ def simhash_groups(
     return marked.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _slot(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(SLOTS))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
     """The rows, with their own columns, of one document of each group: the one of least id.
 
-    Of rows with equal ids one stays; rows without an id count as one document.
+    Of rows with equal ids one stays; rows without an id count as one document. Only rows that may go are moved for the
+    exact join: a bitmap of SLOTS bits, the same at every size, marks the hashes of ids that go or repeat, and rows
+    that it doesn't mark stay where they are. The more ids it marks, the more rows are joined; the result is the same.
+    `docs` is read three times, so write it before if it is costly.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius, tile)
-    stay = settled(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct())
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    groups = settled(simhash_groups(docs, id_col, text_col, shingle, radius, tile).select(F.col(id_col).alias("_id"), "component_id"))
+    repeated = groups.groupBy("_id").count().where("count > 1").select("_id")
+    flagged = groups.where("NOT (_id <=> component_id)").select("_id").union(repeated)
+    words = flagged.groupBy(F.shiftright(_slot("_id"), 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _slot("_id").bitwiseAND(63).cast("int"))).alias("bits"))
+    bitmap = np.zeros(SLOTS // 64, np.int64)
+    for row in words.toLocalIterator():  # SLOTS / 64 rows at most
+        bitmap[row["at"]] = row["bits"]
+
+    @F.arrow_udf("boolean")
+    def marked(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array(bitmap[at >> 6] >> (at & 63) & 1 == 1)
+
+    may_go = F.col(id_col).isNull() | marked(_slot(id_col))
+    untouched = docs.where(~may_go)
+    stay = groups.where("_id <=> component_id").select("_id").distinct()
+    joined = docs.where(may_go).join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
     nth = F.row_number().over(W.partitionBy(id_col).orderBy(id_col))
-    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return untouched.union(joined.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))

@@ -34,7 +34,7 @@ LEAST_LOGIT = -3.5
 BIAS = -4.0
 ROUNDS = 300
 #: Word weights kept at most by a worker; then it forgets them.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 17
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 
