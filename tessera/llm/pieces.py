@@ -27,7 +27,7 @@ from tessera.llm._common import as_text, ranges, runs
 BLANK = 0x2581
 OWN_BLANK = 0x110000
 #: Characters sampled at once.
-GROUP = 1 << 20
+GROUP = 1 << 19
 WORDS = regex.compile(" +[^ ]*|[^ ]+")
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
