@@ -168,10 +168,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that it doesn't mark stay where they are. The more ids it marks, the more rows are joined; the result is the same.
     `docs` is read three times, so write it before if it is costly.
     """
-    groups = settled(simhash_groups(docs, id_col, text_col, shingle, radius, tile).select(F.col(id_col).alias("_id"), "component_id"))
-    repeated = groups.groupBy("_id").count().where("count > 1").select("_id")
-    flagged = groups.where("NOT (_id <=> component_id)").select("_id").union(repeated)
-    words = flagged.groupBy(F.shiftright(_slot("_id"), 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _slot("_id").bitwiseAND(63).cast("int"))).alias("bits"))
+    groups = settled(simhash_groups(docs, id_col, text_col, shingle, radius, tile).select(F.col(id_col).alias("_tessera_id"), "component_id"))
+    repeated = groups.groupBy("_tessera_id").count().where("count > 1").select("_tessera_id")
+    flagged = groups.where("NOT (_tessera_id <=> component_id)").select("_tessera_id").union(repeated)
+    words = flagged.groupBy(F.shiftright(_slot("_tessera_id"), 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _slot("_tessera_id").bitwiseAND(63).cast("int"))).alias("bits"))
     bitmap = np.zeros(SLOTS // 64, np.int64)
     for row in words.toLocalIterator():  # SLOTS / 64 rows at most
         bitmap[row["at"]] = row["bits"]
@@ -183,7 +183,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     may_go = F.col(id_col).isNull() | marked(_slot(id_col))
     untouched = docs.where(~may_go)
-    stay = groups.where("_id <=> component_id").select("_id").distinct()
-    joined = docs.where(may_go).join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    stay = groups.where("_tessera_id <=> component_id").select("_tessera_id").distinct()
+    joined = docs.where(may_go).join(stay, F.col(id_col).eqNullSafe(F.col("_tessera_id")), "left_semi")
     nth = F.row_number().over(W.partitionBy(id_col).orderBy(id_col))
-    return untouched.union(joined.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
+    return untouched.union(joined.withColumn("_tessera_nth", nth).where("_tessera_nth = 1").drop("_tessera_nth"))
