@@ -82,11 +82,12 @@ def model_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "domain_cube",
-    f"WITH {SCORED} SELECT lang, quality, count(*) AS n, round(avg(CAST(label AS DOUBLE)), 6) AS rate FROM scored GROUP BY CUBE (lang, quality)",
+    f"WITH {SCORED} SELECT coalesce(lang, 'all') AS lang, coalesce(q, 'all') AS quality, count(*) AS n, round(avg(CAST(label AS DOUBLE)), 6) AS rate FROM (SELECT *, CAST(quality AS VARCHAR) AS q FROM scored) GROUP BY CUBE (lang, q)",
 )
 def domain_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scored(spark, sf_dir)
-    return found.cube("lang", "quality").agg(F.count("*").alias("n"), F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"))
+    cells = found.withColumn("quality", F.col("quality").cast("string")).cube("lang", "quality").agg(F.count("*").alias("n"), F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"))
+    return cells.withColumns({c: F.coalesce(c, F.lit("all")) for c in ("lang", "quality")})
 
 
 @query(
