@@ -1,11 +1,10 @@
-"""Variant and resampling queries; without SQL, they are held against plain Python in the tests."""
+"""Variant queries; without SQL, they are held against plain Python in the tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import metrics, variants
-from tessera.plans.metric_queries import scored
+from tessera.operators import variants
 from tessera.plans.registry import query
 from tessera.plans.text_queries import sentences
 
@@ -25,9 +24,3 @@ def variant_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("ord").cast("string"))
     made = variants.tagged(variants.generate(found.select(base.alias("base_id"), "sentence")))
     return made.groupBy("generator", F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
-
-
-@query("roc_curve")
-def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ROC curve of the lexical score, a row per distinct score."""
-    return metrics.curve(scored(spark, sf_dir)).select("threshold", F.round(F.col("tp") / F.col("pos"), 6).alias("tpr"), F.round(F.col("fp") / F.col("neg"), 6).alias("fpr"))
