@@ -3,8 +3,8 @@
 Every vector goes to the list of its nearest centre; a query is held against the lists of its nearest centres.
 Vectors are rotated at random, so that any first d of D columns are a sample of the distance. Within a list the
 candidates are scanned in blocks of columns; after each block those are abandoned whose distance, scaled up from
-the columns seen, is beyond the k-th best known by more than chance (1 + EPSILON / sqrt(d)) allows. Survivors are
-measured exactly on the original vectors. A list is cut into chunks and the queries into blocks, so that a task
+the columns seen, is beyond the k-th best known by more than chance (1 + EPSILON / sqrt(d)) and rounding allow; the
+k that set the bound always stay. Survivors are measured exactly on the original vectors. A list is cut into chunks and the queries into blocks, so that a task
 holds a bounded number of both.
 """
 
@@ -28,6 +28,8 @@ SAMPLE = 20000
 CHUNK = 4096
 COLUMNS = 16
 EPSILON = 2.1
+#: Rounding allowed for in a squared distance, as a part of both squared lengths and for each column.
+ROUNDING = 8 * np.finfo(float).eps
 SEED = 3
 
 
@@ -61,6 +63,7 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     dim = queries.shape[1]
     turn = rotation(dim)
     q_all, x = queries @ turn, rows @ turn
+    x_long = (x**2).sum(1)
     found: list[tuple[np.ndarray, ...]] = []
     step = max(1, (1 << 20) // max(1, len(rows)))
     for at in range(0, len(queries), step):
@@ -74,10 +77,14 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
         full = ((q[:, None, :] - x[lead]) ** 2).sum(2)
         full[np.isinf(np.take_along_axis(part, lead, 1))] = np.inf
         bound = full.max(1)
-        i, j = np.nonzero(part * (dim / width) <= bound[:, None] * (1 + EPSILON / np.sqrt(width)) ** 2)
+        room = ROUNDING * dim * ((q**2).sum(1)[:, None] + x_long[None])
+        leads = np.zeros(part.shape, bool)
+        np.put_along_axis(leads, lead, True, 1)
+        i, j = np.nonzero(leads | (part * (dim / width) <= bound[:, None] * (1 + EPSILON / np.sqrt(width)) ** 2 + room))
         seen = part[i, j]
         own = np.isfinite(seen)
         i, j, seen = i[own], j[own], seen[own]
+        room, leads = room[i, j], leads[i, j]
         while width < dim:
             upto = min(width + COLUMNS, dim)
             for lo in range(0, len(i), 1 << 16):
@@ -86,8 +93,8 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
             width = upto
             # all columns seen: only rounding is left to allow for
             slack = (1 + EPSILON / np.sqrt(width)) ** 2 if width < dim else 1 + 1e-9
-            stay = seen * (dim / width) <= bound[i] * slack
-            i, j, seen = i[stay], j[stay], seen[stay]
+            stay = leads | (seen * (dim / width) <= bound[i] * slack + room)
+            i, j, seen, room, leads = i[stay], j[stay], seen[stay], room[stay], leads[stay]
         exact = np.sqrt(((original[i] - rows[j]) ** 2).sum(1))
         order = np.lexsort((row_ids[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]

@@ -222,6 +222,17 @@ def test_neighbours_against_brute_force(spark):
     assert [r.vec_id for r in few] and len(few) == 3
 
 
+@pytest.mark.parametrize("copies", [12, 300])
+def test_neighbours_among_copies(copies):
+    rng = np.random.default_rng(5)
+    for group in range(40):
+        far = rng.standard_normal((200, 64))
+        rows = np.vstack([far, np.repeat(rng.standard_normal((1, 64)), copies, axis=0)])
+        ids = np.arange(len(rows))[::-1].copy()
+        _, found, gaps = neighbours.scan(rows[-1:], ids[-1:], rows, ids, 10)
+        assert found.tolist() == list(range(1, 11)) and (gaps == 0).all(), group
+
+
 # simhash
 
 
