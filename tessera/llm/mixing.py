@@ -1,14 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Every source's rows fall into BLOCKS blocks by a hash of their id, and a source's blocks have a permuted order
-of its own. A source's quota is a number of block draws: whole passes over its blocks, then a last pass that takes a
-prefix of the permuted order (or leaves one out, where that is the smaller part), and single rows that fit the rest. The quotas of all sources are
+of its own. A source's quota is a number of block draws: whole passes over its blocks, then a last pass that takes, in
+permuted order, every block that still fits (or leaves them out, where that is the smaller part). What is missing then
+is filled by finer cuts of the ids left, each by a hash of its own, and last by single ids. The quotas of all sources are
 split among the output shards from the root of a binary tree down: each node draws its left half's share of
 every source from the multivariate hypergeometric law, so that the shards partition the quotas exactly. A
 source's draws are then dealt to the shards in order, which keeps the shards' blocks disjoint; within a shard
 rows are ordered by a hash.
 
-Per source there is one small row (target, passes, prefix, shard boundaries); rows find their decision from it
+Per source there is one small row (target, passes, blocks taken, finer cuts, shard boundaries); rows find their decision from it
 by arithmetic on their block, so that no text moves and a source of any share is spread over all tasks.
 """
 
@@ -27,8 +28,8 @@ SHARDS = 16
 SHARE = 1.5
 WEIGHTS = (3.0, 1.0, 2.0)
 CEILING = 2.0
-#: Rounds that each add one best-fitting id to every source.
-FITS = 6
+#: A finer cut's slots hold about this part of what is missing.
+FINER = 64
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -101,11 +102,21 @@ RECIPE = T.StructType(
         T.StructField("skips", T.BooleanType()),
         T.StructField("goal", T.DoubleType()),
         T.StructField("prefix", T.IntegerType()),
+        T.StructField("places", T.ArrayType(T.ShortType())),
         T.StructField("bounds", T.ArrayType(T.LongType())),
     ]
 )
 
 
+def fitting(words: np.ndarray, goal: float) -> np.ndarray:
+    """Which of the parts are taken: in order, each that the goal still has room for."""
+    taken, left = np.zeros(len(words), bool), goal
+    for i, w in enumerate(words.tolist()):
+        if w <= left:
+            taken[i], left = True, left - w
+    return taken
+
+
 def recipe(sized: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
     """One row per source: its target and how its rows are drawn. `sized` has id, source, size."""
     spark = sized.sparkSession
@@ -126,8 +137,11 @@ def recipe(sized: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
         words = np.zeros(BLOCKS, np.int64)
         for b in r.blocks:
             words[b["rank"]] = b["words"]
-        prefix = int(np.searchsorted(np.cumsum(words), goal, side="right")) if goal > 0 else 0
-        plan.append((r.source, r.source_size, target, passes, skips, goal, prefix))
+        taken = fitting(words, goal) if goal > 0 else np.zeros(BLOCKS, bool)
+        # the blocks that are taken come first, so that they are a prefix of the places
+        places = np.empty(BLOCKS, int)
+        places[np.argsort(~taken, kind="stable")] = np.arange(BLOCKS)
+        plan.append((r.source, r.source_size, target, passes, skips, goal, int(taken.sum()), places.tolist()))
     quotas = np.array([p[3] * BLOCKS + (-p[6] if p[4] else p[6]) for p in plan], np.int64)
     dealt = split_tree(quotas, shards, np.random.default_rng(seed)) if plan else np.zeros((0, shards), np.int64)
     # written, so that its small size is known and the rows need no shuffle to meet it
@@ -135,13 +149,29 @@ def recipe(sized: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
 
 
 def _decide(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Adds to rows (id, source, ...) their source's recipe and `rank`."""
+    """Adds to rows (id, source, ...) their source's recipe and `rank`, the place of their block."""
     named = sources.withColumnRenamed("source", "of")
-    return rows.join(named, rows["source"].eqNullSafe(named["of"]), "left").drop("of").withColumn("rank", _rank(seed))
+    return rows.join(named, rows["source"].eqNullSafe(named["of"]), "left").drop("of").withColumn("rank", F.get("places", _rank(seed).cast("int")).cast("long"))
+
+
+def _slot(seed: int, level, modulus):
+    """Slot of an id in the finer cut `level`."""
+    return F.pmod(F.xxhash64(F.lit(seed + 3), level, F.col("id")), modulus)
+
+
+def _is_fit(seed: int):
+    """Whether a row that no block takes is taken by a finer cut of its source or by itself."""
+    in_cut = F.exists("cuts", lambda c: F.array_contains(c["slots"], _slot(seed, c["level"], c["modulus"])))
+    return F.coalesce(in_cut | (F.col("id").isNotNull() & F.coalesce(F.array_contains("singles", F.col("id")), F.lit(False))), F.lit(False))
 
 
 def _fits(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """(source, singles): ids that bring each source nearer its goal than its prefix does, one more each round."""
+    """(source, cuts, singles): what brings each source nearer its goal than its blocks do, until no id does.
+
+    A cut deals the ids left into slots by a new hash and looks at BLOCKS of them, which it takes in order where they
+    fit; the less is missing, the more slots there are, and so the fewer words in each. Cuts end when one takes nothing
+    of any source; then each round adds the best-fitting id to every source that an id brings nearer its goal.
+    """
     spark = sized.sparkSession
     ids = settled(
         _decide(sized, sources, seed)
@@ -154,14 +184,43 @@ def _fits(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
         for r in ids.groupBy("source").agg((F.first("goal") - F.sum("drawn")).alias("gap")).collect()
     }
     kind = sized.schema["id"].dataType
-    chosen: dict = {source: [] for source in gaps}
-    shape = T.StructType([T.StructField("of", T.StringType()), T.StructField("gap", T.DoubleType()), T.StructField("held", T.ArrayType(kind))])
-    for _ in range(FITS if gaps else 0):
-        wanted = spark.createDataFrame([(s, float(g), chosen[s]) for s, g in gaps.items()], shape)
+    cut = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("modulus", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))])
+    chosen: dict = {source: ([], []) for source in gaps}
+    shape = T.StructType(
+        [T.StructField("of", T.StringType()), T.StructField("gap", T.DoubleType()), T.StructField("cuts", T.ArrayType(cut)), T.StructField("singles", T.ArrayType(kind))]
+    )
+
+    def left():
+        """The ids that nothing takes yet, with their source's gap."""
+        wanted = spark.createDataFrame([(s, float(g), *chosen[s]) for s, g in gaps.items() if g > 0], shape)
+        return ids.where("drawn = 0").join(F.broadcast(wanted), ids["source"].eqNullSafe(wanted["of"])).where(~_is_fit(seed))
+
+    level, took = 0, any(g > 0 for g in gaps.values())
+    while took:
+        level, took = level + 1, False
+        fit = F.col("size") <= F.col("gap")
+        rated = left().groupBy("source", "gap").agg(F.sum(F.when(fit, F.col("size"))).alias("words"), F.count(F.when(~fit, 1)).alias("larger"))
+        # few slots hold one of the larger ids
+        sizes = [(r.source, max(BLOCKS, int(FINER * r.words / r.gap), r.larger)) for r in rated.collect() if r.words]
+        if not sizes:
+            break
+        moduli = spark.createDataFrame(sizes, "name string, modulus long")
+        slots = left().join(F.broadcast(moduli), F.col("source").eqNullSafe(F.col("name"))).withColumn("slot", _slot(seed, F.lit(level), F.col("modulus")))
+        # BLOCKS slots of a source at most, whatever the rows
+        parts: dict = {}
+        for r in slots.where(F.col("slot") < BLOCKS).groupBy("source", "modulus", "slot").agg(F.sum("size").alias("words")).collect():
+            parts.setdefault((r.source, r.modulus), []).append((r.slot, r.words))
+        for (source, modulus), found in parts.items():
+            found.sort()
+            words = np.array([w for _, w in found])
+            if (taken := fitting(words, gaps[source])).any():
+                chosen[source][0].append((level, modulus, [f[0] for f, t in zip(found, taken) if t]))
+                gaps[source] -= int(words[taken].sum())
+                took = True
+    while any(g > 0 for g in gaps.values()):
         best = (
-            ids.where("drawn = 0 AND id IS NOT NULL")
-            .join(wanted, ids["source"].eqNullSafe(wanted["of"]))
-            .where("size < 2 * gap AND NOT array_contains(held, id)")
+            left()
+            .where("id IS NOT NULL AND size < 2 * gap")
             .groupBy("source")
             .agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "id", "size")).alias("best"))
             .collect()
@@ -169,10 +228,10 @@ def _fits(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
         if not best:
             break
         for r in best:
-            chosen[r.source].append(r.best["id"])
+            chosen[r.source][1].append(r.best["id"])
             gaps[r.source] -= r.best["size"]
-    shape = T.StructType([T.StructField("source", T.StringType()), T.StructField("singles", T.ArrayType(kind))])
-    return settled(spark.createDataFrame(list(chosen.items()), shape))
+    shape = T.StructType([T.StructField("source", T.StringType()), *shape.fields[2:]])
+    return settled(spark.createDataFrame([(s, *c) for s, c in chosen.items()], shape))
 
 
 def mix_plan(
@@ -180,27 +239,30 @@ def mix_plan(
 ) -> DataFrame:
     """One row per input row: id, source_size, target, copies int, shards array<int> (one for each copy), size.
 
-    copies is 0 to 2. A source's drawn words come as near its target as its blocks and FITS best-fitting ids
-    allow. Null sources are one source, last in order; texts without words and sources without words are drawn
+    copies is 0 to 2. A source's drawn words come so near its target that no further id brings them nearer. Null sources are one source, last in order; texts without words and sources without words are drawn
     with copies that add no words; equal ids share their decision; reruns agree as all draws are seeded. An empty
     table gives no rows. With carry, the row's own columns come as the struct `row`, whatever their names.
     """
     sized = settled(word_sizes(docs, id_col, text_col, source_col))
     sources = recipe(sized, seed, shards)
-    singles = _fits(sized, sources, seed).withColumnRenamed("source", "of_single")
+    fits = _fits(sized, sources, seed).withColumnRenamed("source", "of_fits")
     rows = sized
     if carry:
         rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     known = _decide(rows, sources, seed)
-    known = known.join(singles, known["source"].eqNullSafe(singles["of_single"]), "left")
-    picked = (F.col("rank") < F.col("prefix")) | F.coalesce(F.array_contains("singles", F.col("id")), F.lit(False))
+    known = known.join(fits, known["source"].eqNullSafe(fits["of_fits"]), "left")
+    in_block = F.col("rank") < F.col("prefix")
+    beside = ~in_block & F.coalesce(_is_fit(seed), F.lit(False))
     last = F.col("passes") - 1
     # numbers of a row's draws among its source's: pass by pass, in the permuted order of blocks
     whole = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.when((k < F.col("passes")) & ~(F.col("skips") & (k == last)), k * BLOCKS + F.col("rank")))
-    extra = F.when(F.col("skips") & ~picked, last * BLOCKS + F.col("rank") - F.col("prefix")).when(~F.col("skips") & picked, F.col("passes") * BLOCKS + F.col("rank"))
+    extra = F.when(F.col("skips") & ~in_block & ~beside, last * BLOCKS + F.col("rank") - F.col("prefix")).when(~F.col("skips") & in_block, F.col("passes") * BLOCKS + F.col("rank"))
     draws = F.concat(whole, F.array(extra))
     to_shard = lambda d: F.size(F.filter(F.col("bounds"), lambda b: b <= d)).cast("int")
-    placed = F.transform(F.array_compact(draws), lambda d: F.least(to_shard(d), F.lit(shards - 1)))  # singles count beside the blocks
+    placed = F.transform(F.array_compact(draws), lambda d: F.least(to_shard(d), F.lit(shards - 1)))
+    # what is taken beside the blocks goes to any shard
+    single = F.when(~F.col("skips") & beside, F.pmod(F.xxhash64(F.lit(seed + 4), F.col("id")), F.lit(shards)).cast("int"))
+    placed = F.concat(placed, F.array_compact(F.array(single)))
     out = known.withColumn("shards", placed).withColumn("copies", F.size("shards"))
     head = ["row"] if carry else [F.col("id").alias(id_col), F.col("size")]
     return out.select(*head, "source_size", "target", "copies", "shards")

@@ -166,6 +166,21 @@ def test_mix_comes_near_targets(spark, odd, none):
     assert set(mixing.mix(odd).columns) == {*odd.columns, "mix_shard", "mix_order"}
 
 
+def test_mix_comes_near_targets_beside_a_long_document(spark):
+    docs = spark.createDataFrame(
+        [(i, "w " * (20000 if i % 2000 == 0 else 10), f"s{i // 2000}") for i in range(24000)], "doc_id long, text string, source string"
+    )
+    rows = mixing.mix_plan(docs).collect()
+    taken, target = {}, {}
+    for r in rows:
+        s = r.doc_id // 2000
+        taken[s] = taken.get(s, 0) + r.size * r.copies
+        target[s] = r.target
+    assert all(abs(taken[s] - target[s]) <= 10 for s in taken)
+    shards = [k for r in rows for k in r.shards]
+    assert set(shards) == set(range(mixing.SHARDS)) and mixing.mix(docs).count() == len(shards)
+
+
 # embeddings
 
 
