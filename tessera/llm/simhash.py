@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm._common import as_bytes, ranges, runs, settled
 from tessera.llm._xxh64 import xxh64
@@ -156,22 +156,30 @@ def simhash_groups(
     return marked.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _slot(id_col: str) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(SLOTS))
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def _identity(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: id and text. Least first: rows with an id before those without, then by id and a hash of the text."""
+    held = F.col(text_col).cast("string")
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), held.isNull().alias("no_text"), F.xxhash64(held).alias("text"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """The rows, with their own columns, of one document of each group: the one of least id.
+    """The rows, with their own columns, of one document of each group: the one of least id, one with an id if there is one.
 
-    Of rows with equal ids one stays; rows without an id count as one document. Only rows that may go are moved for the
-    exact join: a bitmap of SLOTS bits, the same at every size, marks the hashes of ids that go or repeat, and rows
-    that it doesn't mark stay where they are. The more ids it marks, the more rows are joined; the result is the same.
+    Rows are told apart by id and text, so that rows of different groups never compete, whether their ids are equal or
+    missing; of rows of a group that share an id, the one of the least text hash stays. Only rows that may go are moved
+    for the exact join: a bitmap of SLOTS bits, the same at every size, marks the hashes of rows that go or repeat, and
+    rows that it doesn't mark stay where they are. The more it marks, the more rows are joined; the result is the same.
     `docs` is read three times, so write it before if it is costly.
     """
-    groups = settled(simhash_groups(docs, id_col, text_col, shingle, radius, tile).select(F.col(id_col).alias("_tessera_id"), "component_id"))
-    repeated = groups.groupBy("_tessera_id").count().where("count > 1").select("_tessera_id")
-    flagged = groups.where("NOT (_tessera_id <=> component_id)").select("_tessera_id").union(repeated)
-    words = flagged.groupBy(F.shiftright(_slot("_tessera_id"), 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _slot("_tessera_id").bitwiseAND(63).cast("int"))).alias("bits"))
+    keyed = docs.select(_identity(id_col, text_col).alias("_tessera_key"), F.col(text_col).alias("_tessera_text"))
+    groups = settled(simhash_groups(keyed, "_tessera_key", "_tessera_text", shingle, radius, tile).select("_tessera_key", "component_id"))
+    repeated = groups.groupBy("_tessera_key").count().where("count > 1").select("_tessera_key")
+    flagged = groups.where("NOT (_tessera_key <=> component_id)").select("_tessera_key").union(repeated)
+    words = flagged.groupBy(F.shiftright(_slot("_tessera_key"), 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _slot("_tessera_key").bitwiseAND(63).cast("int"))).alias("bits"))
     bitmap = np.zeros(SLOTS // 64, np.int64)
     for row in words.toLocalIterator():  # SLOTS / 64 rows at most
         bitmap[row["at"]] = row["bits"]
@@ -181,9 +189,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array(bitmap[at >> 6] >> (at & 63) & 1 == 1)
 
-    may_go = F.col(id_col).isNull() | marked(_slot(id_col))
-    untouched = docs.where(~may_go)
-    stay = groups.where("_tessera_id <=> component_id").select("_tessera_id").distinct()
-    joined = docs.where(may_go).join(stay, F.col(id_col).eqNullSafe(F.col("_tessera_id")), "left_semi")
-    nth = F.row_number().over(W.partitionBy(id_col).orderBy(id_col))
-    return untouched.union(joined.withColumn("_tessera_nth", nth).where("_tessera_nth = 1").drop("_tessera_nth"))
+    rows = docs.select(_identity(id_col, text_col).alias("_tessera_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_tessera_row"))
+    may_go = marked(_slot("_tessera_key"))
+    untouched = rows.where(~may_go).select("_tessera_row.*")
+    stay = groups.where("_tessera_key <=> component_id").where(may_go).groupBy("_tessera_key").agg(F.count("*").alias("_tessera_n"))
+    joined = rows.where(may_go).join(stay, "_tessera_key")
+    # repeated rows are one key: partial aggregation holds one of them, a window would gather them all
+    once = joined.where("_tessera_n > 1").groupBy("_tessera_key").agg(F.first("_tessera_row").alias("_tessera_row"))
+    return untouched.union(joined.where("_tessera_n = 1").select("_tessera_row.*")).union(once.select("_tessera_row.*"))

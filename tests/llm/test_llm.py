@@ -301,6 +301,18 @@ def test_simhash_of_odd_rows(odd, none):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 6, 7] and len(kept) == 5
 
 
+def test_near_copies_without_ids_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (1, texts[5]), (1, texts[6]), (2, texts[5]), (None, texts[6]), (3, texts[7]), (3, texts[7])]
+    rows += [(0, texts[8]), (4, texts[8]), (4, texts[9]), (None, None), (5, ""), (6, texts[10]), (7, texts[11])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    wanted = [(None, t) for t in texts[:5]] + [(1, texts[5]), (1, texts[6]), (3, texts[7]), (0, texts[8]), (4, texts[9]), (5, ""), (6, texts[10]), (7, texts[11])]
+    assert sorted(kept, key=str) == sorted(wanted, key=str)
+
+
 # token counts
 
 
