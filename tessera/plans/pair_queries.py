@@ -116,7 +116,6 @@ def retrieval_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     None,
 )
 def word_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word edit distance of the first sentences of each pair."""
-    found = pairs(spark, sf_dir)
-    head = lambda c: text.words(F.element_at(F.split(F.col(c), r"[.!?\n]"), 1))
-    return found.select("conv_id", "turn", text.word_edit_distance(head("a"), head("b")).cast("long").alias("distance"))
+    """Word edit distance of the whole turns of each pair."""
+    distance = text.word_edit_distance(text.words(F.col("a")), text.words(F.col("b")))
+    return pairs(spark, sf_dir).select("conv_id", "turn", distance.cast("long").alias("distance"))
