@@ -125,17 +125,25 @@ def median_label(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT a.doc_id AS base, b.doc_id AS donor FROM d a JOIN names x ON a.source = x.source JOIN names y ON y.k = (x.k + 1) % x.m JOIN d b ON b.source = y.source AND b.n = a.n WHERE y.source <> x.source""",
 )
 def cross_topic_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An unrelated partner for each document, from the next source: places join places, no theta join."""
+    """An unrelated partner for each document, from the next source: places join places, no theta join.
+
+    Where the next source has fewer rows, its places are gone through again. Rows without a source are a source of their
+    own, last in order. The SQL states the same only where no source is larger than the next and none is null.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     order = W.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     placed = docs.withColumn("n", F.row_number().over(order))
     names = docs.select("source").distinct()
-    ranked = names.withColumn("k", F.row_number().over(W.orderBy("source")) - 1)  # one row per source
+    ranked = names.withColumn("k", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1)  # one row per source
     m = ranked.agg(F.count("*").alias("m"))
     following = ranked.crossJoin(F.broadcast(m)).select("source", ((F.col("k") + 1) % F.col("m")).alias("k"))
-    partner = following.join(ranked.withColumnRenamed("source", "donor_source"), "k").where("source <> donor_source").select("source", "donor_source")
-    base = placed.join(partner, "source").select(F.col("doc_id").alias("base"), F.col("donor_source").alias("source"), "n")
-    return base.join(placed.withColumnRenamed("doc_id", "donor"), ["source", "n"]).select("base", "donor")
+    sizes = docs.groupBy(F.col("source").alias("donor_source")).agg(F.count("*").alias("size"))
+    partner = following.join(ranked.withColumnRenamed("source", "donor_source"), "k").where("NOT (source <=> donor_source)")
+    partner = partner.join(sizes.withColumnRenamed("donor_source", "of"), F.col("donor_source").eqNullSafe(F.col("of"))).select(F.col("source").alias("base_source"), "donor_source", "size")
+    base = placed.join(partner, placed["source"].eqNullSafe(partner["base_source"]))
+    base = base.select(F.col("doc_id").alias("base"), "donor_source", ((F.col("n") - 1) % F.col("size") + 1).alias("place"))
+    donors = placed.withColumnRenamed("doc_id", "donor")
+    return base.join(donors, base["donor_source"].eqNullSafe(donors["source"]) & (base["place"] == donors["n"])).select("base", "donor")
 
 
 @query(

@@ -21,3 +21,12 @@ def test_edit_distance_of_whole_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = {r.turn: r.distance for r in catalogue.QUERIES["word_edit_distance"](spark, str(tmp_path)).collect()}
     assert found == {i: _distance(turns[i], turns[i + 1]) for i in range(len(turns) - 1)}
+
+
+def test_every_document_has_a_donor(spark, tmp_path):
+    sources = ["a"] * 20 + ["b"] * 3 + ["c"] * 7 + [None] * 2
+    spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES["cross_topic_donors"](spark, str(tmp_path)).collect()
+    following = {"a": "b", "b": "c", "c": None, None: "a"}
+    assert sorted(r.base for r in found) == list(range(len(sources)))
+    assert all(sources[r.donor] == following[sources[r.base]] for r in found)
