@@ -133,6 +133,23 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_components(table(spark, sf_dir, "documents").select("doc_id", F.substr("text", F.lit(1), F.lit(40)).alias("start")), "doc_id", "start")
 
 
+@query("sentence_components", None)
+def sentence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share any sentence, directly or through others, by normalised sentences of the whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = docs.select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence")).select("doc_id", text.pair_key(F.col("sentence")).alias("key")).where("key <> ''")
+    found = shared_components(shared, "doc_id", "key")
+    nodes = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node")).distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+@query("sentence_component_split", None)
+def sentence_component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one component of shared sentences go to one side."""
+    held = selection.hash_split(F.col("component").cast("string"), 0.3, seed=7)
+    return sentence_components(spark, sf_dir).select(F.col("node").alias("doc_id"), F.when(held, "validation").otherwise("fit").alias("part"))
+
+
 @query(
     "provenance",
     f"""WITH k AS (SELECT {NORM} AS key, item_id FROM benchmark), firsts AS (SELECT key, min(item_id) AS item FROM k GROUP BY key)
