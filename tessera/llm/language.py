@@ -7,12 +7,12 @@ of one language each. All texts of a batch step through Viterbi at once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm._common import as_text, ranges, runs
@@ -28,7 +28,8 @@ LEAST_SHARE = 0.4
 #: Words scored and kept at most by a worker; then it forgets them.
 KEPT_WORDS = 1 << 17
 GROUP = 1 << 22
-WORD = re.compile(r"[^\W\d_]+")
+#: A letter, and what letters and marks follow it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 # First and last code points of script ranges; ranges of one number belong together.
 SCRIPT_RANGES = [
     (0x0041, 0x024F, 1), (0x1E00, 0x1EFF, 1), (0x2C60, 0x2C7F, 1), (0xA720, 0xA7FF, 1), (0xFB00, 0xFB06, 1), (0xFF21, 0xFF5A, 1),  # Latin
@@ -193,17 +194,20 @@ def spans(text: str, model: Model, switch: float = SWITCH) -> list[tuple[int, in
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from at most `sample` documents of each language, picked by a hash of the id; rows without either don't count."""
+    """Learns from about `sample` documents of each language, picked by a hash of id and text; rows without text or language don't count.
+
+    In all no more than 2 * sample times the number of languages come to the driver, those of least hash.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return learn(pd.DataFrame({"text": [], "lang": []}))
-    place = (F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double")) / float(1 << 53)
+    place = F.shiftrightunsigned(F.xxhash64("id", "text"), 11).cast("double") / float(1 << 53)
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    picked = rows.where(place < F.element_at(shares, F.col("lang")))
-    return learn(picked.select("text", "lang").limit(2 * sample * len(counts)).toPandas())
+    picked = rows.withColumn("place", place).where(F.col("place") < F.element_at(shares, F.col("lang")))
+    return learn(picked.orderBy("place", "id", "lang").limit(2 * sample * len(counts)).select("text", "lang").toPandas())
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SHARE, switch: float = SWITCH) -> DataFrame:
