@@ -21,8 +21,7 @@ from tessera.llm._common import as_text
 
 #: Documents learned from at most, of each label.
 SAMPLE = 4000
-#: Features kept at most, and the documents that must have one.
-FEATURES = 2000
+#: Toxic documents of the sample that must have a feature.
 LEAST_DOCS = 3
 BEGINNINGS = (4, 5, 6)
 #: Evidence is at least so many times as common in toxic documents as in clean ones.
@@ -45,10 +44,11 @@ def features(word: str) -> list[str]:
 
 
 class Model:
-    """Feature weights, the bias of a sentence with evidence, and the leak."""
+    """Feature weights, strongest prior first, the bias of a sentence with evidence, and the leak."""
 
     def __init__(self, weights: dict[str, float], bias: float, leak: float):
         self.weights, self.bias, self.leak = weights, bias, leak
+        self.place = {f: i for i, f in enumerate(weights)}
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
@@ -58,12 +58,13 @@ class Model:
         self.__init__(*state)
 
     def weight(self, word: str) -> float:
-        """The weight of a word's strongest feature; 0 for a word without evidence."""
+        """The weight of the feature that a word was trained by, which is the one strongest before training; 0 for a word without evidence."""
         got = self.known.get(word)
         if got is None:
             if len(self.known) > KEPT_WORDS:
                 self.known.clear()
-            got = self.known[word] = max(self.weights.get(f, 0.0) for f in features(word))
+            held = [f for f in features(word) if f in self.place]
+            got = self.known[word] = self.weights[min(held, key=self.place.get)] if held else 0.0
         return got
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
@@ -100,7 +101,21 @@ def _evidence(texts: list[str], labels: np.ndarray) -> dict[str, float]:
         low = np.log(a / b) - 1.5 * (1 / (k + 0.5) + 1 / (other + 0.5)) ** 0.5
         if low > LEAST_WEIGHT and a > RATIO * b:
             rated.append((-low, f))
-    return {f: -low for low, f in sorted(rated)[:FEATURES]}
+    return {f: -low for low, f in sorted(rated)}
+
+
+def loss_and_slope(theta: np.ndarray, start: np.ndarray, s: np.ndarray, f: np.ndarray, d: np.ndarray, y: np.ndarray, leak: float) -> tuple[float, np.ndarray]:
+    """The bags' negative log-likelihood with a Gaussian prior about `start`, and its gradient.
+
+    theta holds the features' weights and last the bias; sentence s[i] has feature f[i], and sentence j is in document d[j].
+    """
+    z = np.clip(np.bincount(s, weights=theta[f], minlength=len(d)) + theta[-1], -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    clean = np.exp(np.log1p(-leak) + np.bincount(d, weights=np.log1p(-p), minlength=len(y)))
+    toxic = np.maximum(1 - clean, 1e-9)
+    loss = -np.where(y == 1, np.log(toxic), np.log(clean)).sum() + ((theta - start) ** 2).sum() / 2
+    slope = np.where(y == 1, -clean / toxic, 1.0)[d] * p
+    return float(loss), np.append(np.bincount(f, weights=slope[s], minlength=len(theta) - 1), slope.sum()) + theta - start
 
 
 def learn(texts: list[str], labels: list[int]) -> Model:
@@ -133,19 +148,12 @@ def learn(texts: list[str], labels: list[int]) -> Model:
     theta = start.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
-        z = np.clip(np.bincount(s, weights=theta[f], minlength=len(d)) + theta[-1], -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        log_clean = np.log1p(-leak) + np.bincount(d, weights=np.log1p(-p), minlength=len(y))
-        clean = np.exp(log_clean)
-        pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        slope = pull[d] * p
-        grad = np.append(np.bincount(f, weights=slope[s], minlength=len(names)), slope.sum())
-        grad += theta - start
+        grad = loss_and_slope(theta, start, s, f, d, y, leak)[1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     kept = theta[:-1] + theta[-1] > LEAST_LOGIT
-    return Model({n: float(w) for n, w, k in zip(names, theta, kept) if k}, float(theta[-1]), leak)
+    return Model({n: float(w) if k else 0.0 for n, w, k in zip(names, theta, kept)}, float(theta[-1]), leak)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
