@@ -14,23 +14,21 @@ from tessera.llm._common import settled
 
 #: region -> rack -> shard -> weight
 Tree = dict[str, dict[str, dict[int, float]]]
-REGIONS, RACKS, SHARDS = 2, 2, 4
+#: Racks in a region and shards in a rack.
+RACKS, SHARDS = 2, 4
 
 
-def tree(n_shards: int) -> Tree:
-    """Shards 0 to n-1: full regions of 2 racks of 4 shards up to shard 15, then a region for each further shard.
+def tree(founded: int, added: int = 0) -> Tree:
+    """Shards 0 to founded - 1 in regions of 2 racks of 4 shards, the last ones as full as the number allows, and each shard
+    added later in a region of its own.
 
-    tree(n + 1) equals tree(n) plus one region for n >= 16, and for n < 16 every shard is a region of its own,
-    so that growth by one shard moves rows into that shard only (other than from 15 to 16, where the tree forms).
+    tree(n, 1) equals tree(n) plus one region, whatever n, so that growth by one shard moves rows into that shard only.
     """
-    base = REGIONS * RACKS * SHARDS
-    if n_shards < base:
-        return {f"r{s}": {"k0": {s: 1.0}} for s in range(n_shards)}
     out: Tree = {}
-    for s in range(base):
+    for s in range(founded):
         rack = s // SHARDS
         out.setdefault(f"r{rack // RACKS}", {}).setdefault(f"k{rack % RACKS}", {})[s] = 1.0
-    return out | {f"x{s}": {"k0": {s: 1.0}} for s in range(base, n_shards)}
+    return out | {f"x{s}": {"k0": {s: 1.0}} for s in range(founded, founded + added)}
 
 
 def _draw(key: Column, name: str, weight: float) -> Column:
@@ -81,7 +79,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text
             F.spark_partition_id().alias("split"),
             F.monotonically_increasing_id().alias("ord"),
         )
-        .withColumns({"shard": shard_of(key, tree(n_shards)), "grown_shard": shard_of(key, tree(n_shards + 1))})
+        .withColumns({"shard": shard_of(key, tree(n_shards)), "grown_shard": shard_of(key, tree(n_shards, 1))})
     )
     # A group is a shard's rows of one input split, so no group grows with the shard.
     counts = rows.groupBy("shard", "split").count()
