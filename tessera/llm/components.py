@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm._common import settled
+from tessera.llm._common import discard, settled, spread_join
 
 
-def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
+def _stars(edges: DataFrame, n_edges: int, both_ways: bool) -> DataFrame:
     """One round: every node's larger (large-star) or all smaller (small-star) neighbours move to its least neighbour."""
     sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if both_ways:
         sides = sides.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = sides.join(least, "u")
+    least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    moved = spread_join(sides, least, "u", n_edges * (2 if both_ways else 1))
     if both_ways:
         out = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-            least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        )
+        out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
@@ -28,22 +26,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Edges may repeat, point either way or join a node to itself; nodes without a real edge don't appear.
     Null ends are ignored. Every round is written to the shared folder, so that no round is computed
-    again after a loss, and no task ever holds a component: hubs are reduced by partial aggregation.
+    again after a loss. No task holds a hub: its least neighbour is found by partial aggregation and, as there can be
+    few hubs, broadcast to its edges.
     """
     now = settled(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    mark = None
-    for _ in range(max_rounds):
-        now = settled(_stars(_stars(now, True), False))
+    n_edges, mark = now.count(), None
+    for _ in range(max_rounds if n_edges else 0):
+        # no round has more edges than the one before
+        before, now = now, settled(_stars(_stars(now, n_edges, True), n_edges, False))
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if mark == (seen.n, seen.h):
             break
-        mark = (seen.n, seen.h)
+        n_edges, mark = seen.n, (seen.n, seen.h)
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if n_edges:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

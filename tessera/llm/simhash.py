@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm._common import as_bytes, ranges, runs, settled
+from tessera.llm._common import as_bytes, ranges, runs, settled, spread_join
 from tessera.llm._xxh64 import xxh64
 from tessera.llm.components import connected_components, forest
 
@@ -147,13 +147,14 @@ def simhash_groups(
     none else). Other columns of `docs` don't matter, whatever their names; an empty table gives no rows.
     """
     marked = settled(fingerprints(docs, id_col, text_col, shingle))
-    classes = settled(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    groups = connected_components(link_forest(classes.select("fp"), radius, tile))
-    roots = classes.join(groups.withColumnRenamed("node", "fp"), "fp")
-    least = roots.groupBy("root").agg(F.min("least").alias("group_least"))
-    moved = roots.join(least, "root").select("fp", "group_least")
-    known = classes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
-    return marked.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = settled(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    groups = settled(connected_components(link_forest(classes.select("fp"), radius, tile)).withColumnRenamed("node", "fp"))
+    # only classes that link are looked up; of a component's least id there is one row
+    roots = settled(classes.drop("n").join(groups, "fp"))
+    least = roots.groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("n"))
+    moved = spread_join(roots, least, "root", groups.count()).select("fp", "group_least")
+    known = settled(classes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"), "n"))
+    return spread_join(marked, known, "fp", marked.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def _slot(key: str) -> Column:
@@ -189,7 +190,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array(bitmap[at >> 6] >> (at & 63) & 1 == 1)
 
-    rows = docs.select(_identity(id_col, text_col).alias("_tessera_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_tessera_row"))
+    rows = docs.select(_identity(id_col, text_col).alias("_tessera_key"), F.struct("*").alias("_tessera_row"))
     may_go = marked(_slot("_tessera_key"))
     untouched = rows.where(~may_go).select("_tessera_row.*")
     stay = groups.where("_tessera_key <=> component_id").where(may_go).groupBy("_tessera_key").agg(F.count("*").alias("_tessera_n"))
