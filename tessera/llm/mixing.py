@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.llm._common import as_bytes, settled
+from tessera.llm._common import as_bytes, free_name, settled
 
 BLOCKS = 1024
 SHARDS = 16
@@ -248,7 +248,7 @@ def mix_plan(
     fits = _fits(sized, sources, seed).withColumnRenamed("source", "of_fits")
     rows = sized
     if carry:
-        rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.struct("*").alias("row"))
     known = _decide(rows, sources, seed)
     known = known.join(fits, known["source"].eqNullSafe(fits["of_fits"]), "left")
     in_block = F.col("rank") < F.col("prefix")
@@ -268,12 +268,27 @@ def mix_plan(
     return out.select(*head, "source_size", "target", "copies", "shards")
 
 
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, shards: int) -> DataFrame:
+    """(row, shard, order): every row as often as it is drawn."""
+    plan = mix_plan(docs, id_col, text_col, source_col, seed, shards, carry=True)
+    copies = plan.select("row", F.posexplode("shards").alias("copy", "shard"))
+    own = F.col("row")
+    return copies.withColumn("order", F.xxhash64(F.lit(seed + 2), own.getField(id_col), own.getField(text_col).cast("string"), "copy"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shards: int = SHARDS) -> DataFrame:
     """The mix itself: every row as often as it is drawn, with mix_shard int and mix_order long (place in the shard).
 
-    Sort a shard by mix_order to have it shuffled; repartitionByRange("mix_shard", "mix_order") writes all shards so.
+    A name that `docs` has already gets underscores before it until it is free.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, seed, shards, carry=True)
-    copies = plan.select("row", F.posexplode("shards").alias("copy", "mix_shard"))
-    order = F.xxhash64(F.lit(seed + 2), F.col("row").getField(id_col), "copy").alias("mix_order")
-    return copies.select("row.*", "mix_shard", order)
+    names = free_name(docs.columns, "mix_shard"), free_name(docs.columns, "mix_order")
+    return _copies(docs, id_col, text_col, source_col, seed, shards).select("row.*", F.col("shard").alias(names[0]), F.col("order").alias(names[1]))
+
+
+def mix_in_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shards: int = SHARDS) -> DataFrame:
+    """The mix with the columns of `docs` alone, dealt out to partitions by shard and shuffled within each shard.
+
+    Partitions, and the files they are written to, follow the shards; a shard of many rows has several.
+    """
+    copies = _copies(docs, id_col, text_col, source_col, seed, shards)
+    return copies.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select("row.*")
