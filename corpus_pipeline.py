@@ -32,12 +32,12 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target draws it: not at all, once or twice."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Every document as often as its source's target draws it: not at all, once or twice; dealt to shards and shuffled there."""
+    return mixing.mix_in_shards(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every document and what they decode to, digested."""
+    """Sampled pieces of every document, and digests of them and of what they decode to."""
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
