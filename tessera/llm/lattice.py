@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm._common import ranges, runs, settled
+from tessera.llm._common import ranges, runs, settled, spread_join
 from tessera.llm.components import connected_components, forest
 
 TABLES = 8
@@ -144,27 +144,19 @@ def marked_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).mapInArrow(run, f"id {kind}, key binary, vec binary")
 
 
-def _entries(classes: DataFrame, tables: int, scale: float, slim: bool) -> DataFrame:
-    """A row for each class, table and cell: (cell, node) and, unless slim, (weight, vec)."""
+def _entries(classes: DataFrame, tables: int, scale: float) -> DataFrame:
+    """A row (cell, node) for each class, table and cell. Vectors stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            for i, r in enumerate(raw):
-                by_dim.setdefault(_length(r), []).append(i)
-            for dim, members in by_dim.items():
-                block = _unpacked([raw[i] for i in members])
-                per = entry_cells(units(block), tables, scale).reshape(len(members), -1)
-                row, cell = np.repeat(members, per.shape[1]), per.reshape(-1)
-                own = batch.take(pa.array(row))
-                if slim:
-                    yield pa.RecordBatch.from_arrays([pa.array(cell)], ["cell"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), own.column(0), own.column(1), own.column(2)], ["cell", "node", "weight", "vec"])
-
-    shape = "cell long" if slim else "cell long, node long, weight long, vec binary"
-    return classes.select("node", "weight", "vec").mapInArrow(run, shape)
+            node, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            lengths = np.array([_length(r) for r in raw])
+            for dim in np.unique(lengths):
+                members = np.flatnonzero(lengths == dim)
+                per = entry_cells(_units_of([raw[i] for i in members]), tables, scale).reshape(len(members), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(per.reshape(-1)), pa.array(np.repeat(node[members], per.shape[1]))], ["cell", "node"])
+
+    return classes.select("node", "vec").mapInArrow(run, "cell long, node long")
 
 
 def _pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -265,11 +257,13 @@ def vector_links(classes: DataFrame, least: float = 0.95, tables: int = TABLES,
 
     b is null: a has so many linked vectors more, counted by weight. b is not null: an edge of a spanning forest.
     """
-    sizes = _entries(classes, tables, scale, slim=True).groupBy("cell").count()
-    large = sizes.where(F.col("count") > tile).select("cell", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    entries = _entries(classes, tables, scale, slim=False).join(settled(large), "cell", "left")
-    parts = F.coalesce("parts", F.lit(1))
-    placed = entries.withColumn("tile", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    entries = settled(_entries(classes, tables, scale))
+    # most cells hold one entry: only the others are looked up, and only for their entries do vectors move
+    shared = settled(entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / tile).cast("int")))
+    held = spread_join(entries, shared, "cell", entries.count())
+    vectors = classes.select("node", "weight", "vec")
+    placed = held.withColumn("tile", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(vectors, "node")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("cell", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "weight", "vec")
     compare = _Compare(least, tables, scale)
 
@@ -313,12 +307,12 @@ def vector_groups(
     links = settled(vector_links(classes, least, tables, scale, tile))
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("count").alias("links"))
     groups = connected_components(links.where("b IS NOT NULL").select("a", "b"))
-    known = classes.select("key", "node", "least", "weight").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_of = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    rated = known.join(least_of, "root").join(counts, "node", "left")
-    rated = rated.select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = marked.select("id", "key").join(rated, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
-    )
+    known = settled(classes.select("key", "node", "least", "weight").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    n_classes = known.count()
+    least_of = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    rated = spread_join(known, least_of, "root", n_classes).join(counts, "node", "left")
+    rated = settled(rated.select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.col("weight").alias("n")))
+    out = spread_join(marked.where("key IS NOT NULL").select("id", "key"), rated, "key", marked.count()).select("id", "n_links", "component_id")
+    out = out.union(marked.where("key IS NULL").select("id", F.lit(0).cast("long"), "id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
