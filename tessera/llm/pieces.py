@@ -14,7 +14,9 @@ The vocabulary has merge ranks rather than probabilities, so a piece of rank r w
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ BLANK = 0x2581
 OWN_BLANK = 0x110000
 #: Characters sampled at once.
 GROUP = 1 << 19
+#: Places of filtered words kept by a worker, but for those of one group; beyond that it forgets them.
+KEPT = 1 << 20
 WORDS = regex.compile(" +[^ ]*|[^ ]+")
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -111,6 +115,15 @@ def _uniform(seed: np.ndarray, occurrence: np.ndarray, step: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def _by_depth(depth: np.ndarray, target: np.ndarray, weight: np.ndarray, piece: np.ndarray, n_nodes: int) -> np.ndarray:
+    """The order of edges by depth, then target, then the heaviest first; of equal weight, by piece."""
+    span = int(piece.max(initial=0)) + 2
+    if not len(depth) or int(depth.max()) * n_nodes * span > 1 << 62:
+        return np.lexsort((piece, -weight, target, depth))
+    # weights fall with the piece's number; what is spelled by bytes comes last
+    return np.argsort((depth * n_nodes + target) * span + np.where(piece >= 0, piece, span - 1))
+
+
 def _filtered(vocab: Vocabulary, words: list[str], alpha: float) -> tuple[np.ndarray, ...]:
     """Forward filtering: for every place of the distinct words, its edges and their cumulated probabilities.
 
@@ -130,7 +143,7 @@ def _filtered(vocab: Vocabulary, words: list[str], alpha: float) -> tuple[np.nda
     origin = place + word[place]  # one more node than characters in each word
     target = origin + size
     depth = target - (ends - sizes + np.arange(len(words)))[word[place]]
-    order = np.lexsort((-weight, target, depth))
+    order = _by_depth(depth, target, weight, piece, len(codes) + len(words))
     origin, target, piece, weight, depth = origin[order], target[order], piece[order], weight[order], depth[order]
     char = codes[place[order]]
     n_nodes = len(codes) + len(words)
@@ -150,31 +163,60 @@ def _filtered(vocab: Vocabulary, words: list[str], alpha: float) -> tuple[np.nda
         mass = np.add.reduceat(part, at)
         total[target[heads[a:b]]] = top + np.log(mass)
         chance[lo:hi] = part / np.repeat(mass, span)
-    summed = np.cumsum(chance)
-    base = np.repeat(summed[heads] - chance[heads], np.diff(np.append(heads, len(weight))))
-    upto = summed - base
+    # summed within each node alone, so that no other word has a part in the rounding
+    upto, spans = chance, np.diff(np.append(heads, len(weight)))
+    for k in range(1, int(spans.max(initial=0))):
+        at = heads[spans > k] + k
+        upto[at] += upto[at - 1]
     upto[np.append(heads[1:], len(weight)) - 1 if len(heads) else []] = 2.0  # the last edge takes what is left
     return ends + np.arange(len(words)), first, upto, origin, piece, char
 
 
+class Lattices:
+    """Forward-filtered words that a worker keeps: frequent words are filtered once, not once for every group."""
+
+    def __init__(self, vocab: Vocabulary, alpha: float):
+        self.vocab, self.alpha = vocab, alpha
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.start, self.last, self.first, self.origin, self.piece, self.char = (np.zeros(0, np.int32) for _ in range(6))
+        self.upto = np.zeros(0)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of the words; self.start and self.last hold their nodes."""
+        if len(self.first) > KEPT:
+            self.forget()
+        number, known = self.number, len(self.number)  # a new word gets the next number
+        found = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        if len(number) > known:
+            new = list(itertools.islice(number, known, None))
+            last, first, upto, origin, piece, char = _filtered(self.vocab, new, self.alpha)
+            nodes, edges = len(self.first), len(self.upto)
+            grown = [("last", last + nodes), ("start", last - np.array([len(w) for w in new]) + nodes), ("first", first + edges), ("origin", origin + nodes), ("piece", piece), ("char", char)]
+            for name, values in grown:
+                setattr(self, name, np.concatenate([getattr(self, name), values.astype(np.int32)]))
+            self.upto = np.concatenate([self.upto, upto])
+        return found
+
+
+@functools.lru_cache(2)
+def lattices(path: str, alpha: float) -> Lattices:
+    return Lattices(vocabulary(path), alpha)
+
+
 def sample(texts: list[str], seeds: np.ndarray, path: str, alpha: float) -> Iterator[np.ndarray]:
     """The sampled piece ids of each text; seeds (uint64) are the rows' keys, hashed."""
-    vocab = vocabulary(path)
+    vocab, known = vocabulary(path), lattices(path, alpha)
     for first_text, last_text in runs([len(t) for t in texts], GROUP):
-        number: dict[str, int] = {}
-        words, per_text = [], []
-        for text in texts[first_text:last_text]:
-            own = WORDS.findall(" " + text) if text else []
-            words += [number.setdefault(w, len(number)) for w in own]
-            per_text.append(len(own))
-        per = np.array(per_text, np.int64)
-        word = np.array(words, np.int64)
-        last_node, first, upto, origin, piece, char = _filtered(vocab, list(number), alpha)
+        parts = [WORDS.findall(" " + text) if text else [] for text in texts[first_text:last_text]]
+        per = np.array([len(own) for own in parts], np.int64)
+        word = known.numbers([w for own in parts for w in own])
+        first, upto, origin, piece, char = known.first, known.upto, known.origin, known.piece, known.char
         occurrence = ranges(np.zeros(len(per), np.int64), per)
         seed = np.repeat(seeds[first_text:last_text], per)
-        node = last_node[word] if len(word) else word
-        starts = last_node - np.array([len(w) for w in number], np.int64) if number else last_node
-        start = starts[word] if len(word) else word
+        node, start = known.last[word], known.start[word]
         live, steps, drawn = np.arange(len(word)), [], []
         taken = np.zeros(len(word), np.int64)
         while len(live):
@@ -190,7 +232,7 @@ def sample(texts: list[str], seeds: np.ndarray, path: str, alpha: float) -> Iter
             node[live] = origin[edge]
             live = live[node[live] > start[live]]
         stop = np.cumsum(taken)
-        edges = np.empty(stop[-1] if len(stop) else 0, np.int64)
+        edges = np.empty(stop[-1] if len(stop) else 0, np.int32)
         for k, (which, edge) in enumerate(zip(steps, drawn)):
             edges[stop[which] - 1 - k] = edge
         ids = piece[edges]
@@ -217,6 +259,11 @@ def _picked(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key"))
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(flat))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.5, seed: int = 11) -> DataFrame:
     """(id, pieces array<int>): a sampled segmentation of each text, fixed by the row's id and `seed`.
 
@@ -229,9 +276,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             keys = batch.column(2).to_numpy().view(np.uint64)
             found = list(sample(as_text(batch.column(1)), keys, path, alpha))
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["id", "pieces"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return _picked(docs, id_col, text_col, seed).mapInArrow(run, f"id {kind}, pieces array<int>").withColumnRenamed("id", id_col)
@@ -250,26 +295,26 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", pieces_col: st
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.5, seed: int = 11) -> DataFrame:
-    """encode() and decode() in one pass, digested: id, n_pieces, pieces_crc32, text_crc32 (decoded), lossless.
+    """encode() and decode() in one pass: id, pieces array<int>, n_pieces, pieces_crc32, text_crc32 (decoded), lossless.
 
     pieces_crc32 is over the ids as little-endian 32-bit integers. lossless: the decoded text equals the row's
-    text, null counting as empty.
+    text, null counting as empty. Rows as for encode().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_text(batch.column(1))
             table = vocabulary(path).bytes
-            n, crc, text_crc, same = [], [], [], []
+            found, crc, text_crc, same = [], [], [], []
             for text, ids in zip(texts, sample(texts, batch.column(2).to_numpy().view(np.uint64), path, alpha)):
                 back = b"".join([table[i] for i in ids.tolist()])[1:]
-                n.append(len(ids))
+                found.append(ids)
                 crc.append(zlib.crc32(ids.astype("<i4").tobytes()))
                 text_crc.append(zlib.crc32(back))
                 same.append(back == text.encode())
-            columns = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(text_crc, pa.int64()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_pieces", "pieces_crc32", "text_crc32", "lossless"])
+            columns = [_lists(found), pa.array(map(len, found), pa.int64()), pa.array(crc, pa.int64()), pa.array(text_crc, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "pieces", "n_pieces", "pieces_crc32", "text_crc32", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"id {kind}, n_pieces long, pieces_crc32 long, text_crc32 long, lossless boolean"
+    shape = f"id {kind}, pieces array<int>, n_pieces long, pieces_crc32 long, text_crc32 long, lossless boolean"
     return _picked(docs, id_col, text_col, seed).mapInArrow(run, shape).withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ from tessera.llm.token_counts import token_counts
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled SentencePiece segmentations of all documents and what they decode to, digested."""
+    """Sampled SentencePiece segmentations of all documents and what they decode to, with digests of both."""
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
