@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tessera.functions import lexicons
+from tessera.functions.tables import looked_up
 
 
 def _lookup(lemma: Column, place: int, otherwise: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for row in lexicons.IRREGULAR_VERBS for x in (row[0], row[place])])
-    return F.coalesce(F.element_at(table, lemma), otherwise)
+    return F.coalesce(looked_up({row[0]: row[place] for row in lexicons.IRREGULAR_VERBS}, lemma), otherwise)
 
 
 def third_person(lemma: Column) -> Column:
@@ -17,7 +17,7 @@ def third_person(lemma: Column) -> Column:
     return (
         F.when(lemma == "be", "is")
         .when(lemma == "have", "has")
-        .when(lemma.rlike("[^aeiou]y$"), F.concat(F.expr("''"), F.regexp_replace(lemma, "y$", "ies")))
+        .when(lemma.rlike("[^aeiou]y$"), F.regexp_replace(lemma, "y$", "ies"))
         .when(lemma.rlike("(?:s|x|z|ch|sh|o)$"), F.concat(lemma, F.lit("es")))
         .otherwise(F.concat(lemma, F.lit("s")))
     )
@@ -25,7 +25,7 @@ def third_person(lemma: Column) -> Column:
 
 def doubles(lemma: Column) -> Column:
     """Whether a short consonant-vowel-consonant ending doubles."""
-    return lemma.rlike("^[^aeiou]*[aeiou][^aeiouwxy]$") & (F.length(lemma) >= 3)
+    return lemma.rlike("[^aeiou][aeiou][^aeiouwxy]$")
 
 
 def _regular_past(lemma: Column) -> Column:
@@ -48,7 +48,7 @@ def past_participle(lemma: Column) -> Column:
 def present_participle(lemma: Column) -> Column:
     return (
         F.when(lemma.rlike("ie$"), F.regexp_replace(lemma, "ie$", "ying"))
-        .when(lemma.rlike("[^eoy]e$") & (F.length(lemma) > 2), F.regexp_replace(lemma, "e$", "ing"))
+        .when(lemma.rlike("^e$|[^eoy]e$"), F.regexp_replace(lemma, "e$", "ing"))
         .when(doubles(lemma), F.concat(lemma, F.substr(lemma, F.length(lemma)), F.lit("ing")))
         .otherwise(F.concat(lemma, F.lit("ing")))
     )
@@ -66,9 +66,12 @@ def inflect(lemma: Column, tag: Column) -> Column:
 
 
 def contracted(aux: Column) -> Column:
-    """The negative contraction of an auxiliary."""
-    table = F.create_map(*[F.lit(x) for item in lexicons.CONTRACTIONS.items() for x in item])
-    return F.coalesce(F.element_at(table, F.lower(aux)), F.concat(F.lower(aux), F.lit("n't")))
+    """The negative contraction of an auxiliary, in its case; null where there is none."""
+    low = F.lower(aux)
+    made = F.coalesce(looked_up(lexicons.CONTRACTIONS, low), F.concat(low, F.lit("n't")))
+    capital = F.substr(aux, F.lit(1), F.lit(1)) != F.substr(low, F.lit(1), F.lit(1))
+    cased = F.when(capital, F.concat(F.upper(F.substr(made, F.lit(1), F.lit(1))), F.substr(made, F.lit(2)))).otherwise(made)
+    return F.when(~low.isin(lexicons.UNCONTRACTABLE), cased)
 
 
 def negative_derivations(stem: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions import lexicons
 
@@ -20,9 +24,15 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_BREAK), F.trim), lambda s: s != "")
 
 
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
+
+
 def dedup_key(text: Column) -> Column:
-    """Lower case, punctuation to blanks, single blanks, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    """NFKC, lower case, punctuation to blanks, single blanks, trimmed. Only texts beyond ASCII leave the JVM for NFKC."""
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def pair_key(text: Column) -> Column:
@@ -54,10 +64,15 @@ def is_cue(word: Column, cues: list[str] | None = None) -> Column:
     return word.isin(cues or lexicons.surface_cues()) | less | prefixed
 
 
+def cue_words(text: Column) -> Column:
+    """Lower-case words between blanks without marks at their ends; n't is a word of its own, written nt."""
+    bare = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.lower(F.replace(F.btrim(w, F.lit(".,;:!?'\"")), F.lit("n't"), F.lit(" nt"))))
+    return F.filter(F.split(F.array_join(bare, " "), r"\s+"), lambda w: w != "")
+
+
 def cue_count(text: Column) -> Column:
     """Words that are cues; n't counts as a word of its own."""
-    split = F.regexp_replace(F.lower(text), "n't", " n't")
-    return F.size(F.filter(F.regexp_extract_all(split, F.lit(WORDS), F.lit(0)), lambda w: is_cue(w)))
+    return F.size(F.filter(cue_words(text), lambda w: is_cue(w)))
 
 
 def one_sentence(text: Column, least: int = 5, most: int = 40) -> Column:
@@ -162,7 +177,6 @@ def soft_xor(weights: Column) -> Column:
 
 
 def blacklist_hit(variant: Column, base: Column) -> Column:
-    """Name of the first pattern that the variant's words hold more often than the base's; null if none."""
-    padded = lambda t: F.concat(F.lit(" "), F.array_join(words(t), "  "), F.lit(" "))
-    count = lambda t, p: F.size(F.split(padded(t), " " + p.replace(" ", "  ") + " ")) - 1
+    """Name of the first pattern that the variant holds more often than the base; null if none."""
+    count = lambda t, p: F.size(F.regexp_extract_all(F.lower(t), F.lit(p), F.lit(0)))
     return F.coalesce(*[F.when(count(variant, p) > count(base, p), name) for name, p in lexicons.BLACKLIST.items()])

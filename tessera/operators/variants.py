@@ -85,7 +85,7 @@ def _insert_adverb(tokens: list[str], low: list[str]) -> Iterator[Made]:
         at = next((i for i, w in enumerate(low[:-1]) if w in SUBJECTS and low[i + 1].isalpha()), None)
     if at is None:
         return
-    for adverb, hint in lexicons.NEGATIVE_ADVERBS.items():
+    for adverb, (_, hint) in lexicons.NEGATIVE_ADVERBS.items():
         yield "adverb", "neg_adverb", hint, "negate", _join([*tokens[: at + 1], adverb, *tokens[at + 1 :]]), [adverb]
 
 

@@ -11,26 +11,6 @@ from tessera.plans.registry import query, words_in
 from tessera.plans.text_queries import FAMILY, SENTENCES, WORDS, sentences
 from tessera.session import table
 
-_FAMILY_WEIGHT = " ".join(f"WHEN family = '{f}' THEN {w}" for f, w in lexicons.FAMILY_WEIGHT.items())
-_INTENSITY = " ".join(f"WHEN w = '{a}' THEN {lexicons.INTENSITY_WEIGHT[i]}" for a, i in lexicons.NEGATIVE_ADVERBS.items())
-
-
-@query(
-    "polarity_v5",
-    f"""WITH {SENTENCES}, toks AS (SELECT doc_id, ord, unnest({WORDS.format('sentence')}) AS w FROM sentences), cues AS (SELECT *, {FAMILY} AS family FROM toks WHERE w IN {words_in(lexicons.EXPLICIT_CUES)}),
-        weighed AS (SELECT doc_id, ord, CAST((CASE {_FAMILY_WEIGHT} ELSE 1 END) * (CASE {_INTENSITY} ELSE 0.9 END) AS DOUBLE) AS weight FROM cues)
-        SELECT doc_id, ord, round(CASE WHEN count(*) % 2 = 1 THEN max(weight) ELSE 0 END, 6) AS polarity FROM weighed GROUP BY doc_id, ord""",
-)
-def polarity_v5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parity first, then the weight of the strongest cue, of every sentence with a cue; all inside the row."""
-    words = F.filter(text.words(F.col("sentence")), lambda w: w.isin(lexicons.EXPLICIT_CUES))
-    families = F.create_map(*[F.lit(x) for item in lexicons.FAMILY_WEIGHT.items() for x in item])
-    levels = F.create_map(*[F.lit(x) for a, i in lexicons.NEGATIVE_ADVERBS.items() for x in (a, lexicons.INTENSITY_WEIGHT[i])])
-    weight = lambda w: F.coalesce(F.element_at(families, text.cue_family(w)), F.lit(1.0)) * F.coalesce(F.element_at(levels, w), F.lit(lexicons.INTENSITY_WEIGHT["neutral"]))
-    found = sentences(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), F.transform(words, weight).alias("ws")).where(F.size("ws") > 0)
-    return found.select("doc_id", "ord", F.round(F.when(F.size("ws") % 2 == 1, F.array_max("ws")).otherwise(0.0), 6).alias("polarity"))
-
-
 @query(
     "ensemble_scores",
     f"""WITH {SCORED}, m AS (SELECT doc_id, label, [least(score * 50, 1), least(cues / 10, 1), least(len / 2000, 1)] AS s FROM scored)

@@ -30,7 +30,7 @@ def base_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "first_wins_dedup",
-    f"""WITH {SENTENCES}, keyed AS (SELECT lang, doc_id, ord, trim(regexp_replace(regexp_replace(lower(sentence), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM sentences),
+    f"""WITH {SENTENCES}, keyed AS (SELECT lang, doc_id, ord, trim(regexp_replace(regexp_replace(lower(nfc_normalize(sentence)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM sentences),
         tagged AS (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY doc_id, ord) AS place FROM keyed)
         SELECT lang, CASE WHEN key = '' THEN 'empty' WHEN place = 1 THEN 'kept' ELSE 'duplicate' END AS outcome, count(*) AS n FROM tagged GROUP BY ALL""",
 )

@@ -15,8 +15,16 @@ SENTENCES = r"""sentences AS (
             FROM documents)))"""
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}'']+')"
 PREFIXED = " OR ".join(f"(starts_with(w, '{p}') AND length(w) > {len(p) + 4})" for p in ("un", "non", "im", "ir", "il"))
-CUE = f"(w IN {words_in(lexicons.surface_cues())} OR (ends_with(w, 'less') AND length(w) > 6) OR {PREFIXED})"
-CUE_COUNT = r"len(list_filter(regexp_extract_all(replace(lower({}), 'n''t', ' n''t'), '[\p{{L}}\p{{N}}'']+'), lambda w: " + CUE.replace("{", "{{").replace("}", "}}") + "))"
+# the words as SQL knows them, written out
+_CUE_BASES = """not cannot no nt never hardly barely rarely seldom scarcely none neither nobody nothing nowhere nor noone no-one without devoid free absence impossible unlikely unable incapable
+    unfit unclear invalid incorrect inaccurate inconsistent incomplete unavailable unsafe unstable unusual unhappy unfair irrelevant illegal illegible improbable imperfect insufficient unsuccessful
+    unwilling unreliable unknown nonexistent dishonest useless hopeless harmless careless meaningless powerless worthless fruitless absent lacking void empty missing fail fails failed lack lacks
+    lacked refuse refuses refused deny denies denied neglect neglects neglected cease ceases ceased"""
+CUE = f"(regexp_matches(w, '^(?:{'|'.join(_CUE_BASES.split())})(?:s|es|ed|d|ing)?$') OR (ends_with(w, 'less') AND length(w) > 6) OR {PREFIXED})"
+CUE_COUNT = (
+    r"len(list_filter(regexp_split_to_array(array_to_string(list_transform(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''), "
+    + r"""lambda x: lower(replace(trim(x, '.,;:!?''"'), 'n''t', ' nt'))), ' '), '\s+'), lambda w: w <> '' AND """ + CUE.replace("{", "{{").replace("}", "}}") + "))"
+)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +57,7 @@ def pair_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dedup_key",
-    r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM documents",
+    r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM documents",
 )
 def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("key"))
@@ -126,7 +134,7 @@ def spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEMMA = "(SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS lemma FROM benchmark)"
-_DOUBLE = "regexp_matches(lemma, '^[^aeiou]*[aeiou][^aeiouwxy]$') AND length(lemma) >= 3"
+_DOUBLE = "regexp_matches(lemma, '[^aeiou][aeiou][^aeiouwxy]$')"
 _PAST = f"""CASE WHEN regexp_matches(lemma, 'e$') THEN lemma || 'd' WHEN regexp_matches(lemma, '[^aeiou]y$') THEN regexp_replace(lemma, 'y$', 'ied')
     WHEN {_DOUBLE} THEN lemma || right(lemma, 1) || 'ed' ELSE lemma || 'ed' END"""
 _IRREGULAR = ", ".join(str(row) for row in lexicons.IRREGULAR_VERBS)
@@ -138,7 +146,7 @@ _IRREGULAR = ", ".join(str(row) for row in lexicons.IRREGULAR_VERBS)
         CASE WHEN lemma = 'be' THEN 'is' WHEN lemma = 'have' THEN 'has' WHEN regexp_matches(lemma, '[^aeiou]y$') THEN regexp_replace(lemma, 'y$', 'ies')
             WHEN regexp_matches(lemma, '(?:s|x|z|ch|sh|o)$') THEN lemma || 'es' ELSE lemma || 's' END AS vbz,
         coalesce(irregular.past, {_PAST}) AS vbd, coalesce(irregular.participle, {_PAST}) AS vbn,
-        CASE WHEN regexp_matches(lemma, 'ie$') THEN regexp_replace(lemma, 'ie$', 'ying') WHEN regexp_matches(lemma, '[^eoy]e$') AND length(lemma) > 2 THEN regexp_replace(lemma, 'e$', 'ing')
+        CASE WHEN regexp_matches(lemma, 'ie$') THEN regexp_replace(lemma, 'ie$', 'ying') WHEN regexp_matches(lemma, '[^eoy]e$') THEN regexp_replace(lemma, 'e$', 'ing')
             WHEN {_DOUBLE} THEN lemma || right(lemma, 1) || 'ing' ELSE lemma || 'ing' END AS vbg
         FROM {_LEMMA} LEFT JOIN (VALUES {_IRREGULAR}) AS irregular(verb, past, participle) ON lemma = verb""",
 )
@@ -181,38 +189,3 @@ def quantifier_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = found.select("doc_id", "ord", "ws", F.posexplode("ws").alias("place", "w")).where(F.lower("w").isin(list(lexicons.QUANTIFIER_SWAPS)))
     parts = F.concat(F.slice("ws", F.lit(1), F.col("place")), F.array(F.element_at(swaps, F.lower("w"))), F.slice("ws", F.col("place") + 2, F.size("ws")))
     return toks.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("place").cast("long").alias("place"), F.array_join(parts, " ").alias("variant"))
-
-
-@query(
-    "polarity_v2",
-    f"""WITH {SENTENCES}, clauses AS (SELECT doc_id, ord, unnest(string_split(sentence, ', ')) AS clause FROM sentences WHERE lang = 'en')
-        SELECT doc_id, ord, max(len(list_filter({WORDS.format('clause')}, lambda w: w IN {words_in(lexicons.EXPLICIT_CUES)})) % 2) AS negated FROM clauses GROUP BY doc_id, ord""",
-)
-def polarity_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parity of explicit cues in each comma clause; the most negated clause speaks for the sentence. No shuffle."""
-    found = sentences(spark, sf_dir).where("lang = 'en'")
-    odd = F.transform(F.split("sentence", ", "), lambda c: F.size(F.filter(text.words(c), lambda w: w.isin(lexicons.EXPLICIT_CUES))) % 2)
-    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.array_max(odd).cast("long").alias("negated"))
-
-
-_WEIGHT = " ".join(f"WHEN w = '{a}' THEN {lexicons.INTENSITY_WEIGHT[i]}" for a, i in lexicons.NEGATIVE_ADVERBS.items())
-
-
-@query(
-    "polarity_v3",
-    f"""WITH {SENTENCES} SELECT doc_id, ord, round((1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(
-            list_filter({WORDS.format('sentence')}, lambda w: w IN {words_in(lexicons.EXPLICIT_CUES)}), lambda w: CAST(1 - 2 * (CASE {_WEIGHT} ELSE 0.9 END) AS DOUBLE))),
-            lambda p, x: p * x)) / 2, 6) AS polarity FROM sentences WHERE lang = 'en'""",
-)
-def polarity_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Soft exclusive-or of the cues' intensity weights."""
-    found = sentences(spark, sf_dir).where("lang = 'en'")
-    cues = F.filter(text.words(F.col("sentence")), lambda w: w.isin(lexicons.EXPLICIT_CUES))
-
-    def weight(w):
-        out = F
-        for adverb, intensity in lexicons.NEGATIVE_ADVERBS.items():
-            out = out.when(w == adverb, lexicons.INTENSITY_WEIGHT[intensity])
-        return out.otherwise(lexicons.INTENSITY_WEIGHT["neutral"])
-
-    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.round(text.soft_xor(F.transform(cues, weight)), 6).alias("polarity"))
