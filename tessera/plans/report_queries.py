@@ -146,17 +146,6 @@ def cross_topic_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(donors, base["donor_source"].eqNullSafe(donors["source"]) & (base["place"] == donors["n"])).select("base", "donor")
 
 
-@query(
-    "component_split",
-    """WITH c AS (SELECT substr(text, 1, 40) AS start, count(*) AS n FROM documents GROUP BY 1)
-        SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('7:' || substr(text, 1, 40)), 1, 8) AS BIGINT) < CAST(0.3 * 4294967296 AS BIGINT) THEN 'validation' ELSE 'fit' END AS part FROM documents""",
-)
-def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that begin alike go to one side."""
-    held = selection.hash_split(F.substr("text", F.lit(1), F.lit(40)), 0.3, seed=7)
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(held, "validation").otherwise("fit").alias("part"))
-
-
 @query(
     "json_fields",
     "SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN lower(json_extract_string(props, '$.flag')) IN ('true', 'yes', '1') THEN true WHEN lower(json_extract_string(props, '$.flag')) IN ('false', 'no', '0') THEN false END AS flag FROM events",

@@ -118,23 +118,25 @@ def matched_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.least(F.floor(F.col("n_chars") / 500), F.lit(9)).alias("bin"))
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
     want = rows.where("toxic = 1").groupBy("bin").agg(F.count("*").alias("k"))  # ten rows at most
-    order = W.partitionBy("bin").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    return rows.where("toxic = 0").withColumn("n", F.row_number().over(order)).join(F.broadcast(want), "bin").where("n <= k").select("doc_id", "bin")
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    # places by ranges of the digest: counts of 4096 ranges for each bin, and a window within the range that holds the last place
+    clean = rows.where("toxic = 0").withColumns({"digest": digest, "range": F.substr(digest, F.lit(1), F.lit(3))})
+    before = W.partitionBy("bin").orderBy("range")
+    ranges = clean.groupBy("bin", "range").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(before))  # 4096 rows a bin at most
+    known = ranges.join(F.broadcast(want), "bin").where("upto - c < k").select("bin", "range", (F.col("upto") - F.col("c")).alias("past"), "k")
+    placed = clean.join(F.broadcast(known), ["bin", "range"]).withColumn("n", F.row_number().over(W.partitionBy("bin", "range").orderBy("digest", "doc_id")) + F.col("past"))
+    return placed.where("n <= k").select("doc_id", "bin")
 
 
-@query(
-    "components",
-    """WITH RECURSIVE n AS (SELECT DISTINCT doc_id AS node, substr(text, 1, 40) AS value FROM documents),
-        low AS (SELECT value, min(node) AS least FROM n GROUP BY value)
-        SELECT node, least AS component FROM n JOIN low USING (value)""",
-)
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that begin alike, as components of the graph of documents and beginnings."""
-    return shared_components(table(spark, sf_dir, "documents").select("doc_id", F.substr("text", F.lit(1), F.lit(40)).alias("start")), "doc_id", "start")
+_REACHED = rf"""WITH RECURSIVE {SENTENCES}, k AS (SELECT DISTINCT doc_id AS node, rtrim(regexp_replace(lower(trim(sentence)), '\s+', ' ', 'g'), ' .') AS key FROM sentences),
+    low AS (SELECT key, min(node) AS least FROM k WHERE key <> '' GROUP BY key), e AS (SELECT DISTINCT node AS a, least AS b FROM k JOIN low USING (key) WHERE node <> least),
+    ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(node, r) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT reach.node, ways.b FROM reach JOIN ways ON ways.a = reach.r),
+    c AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"""
 
 
-@query("sentence_components", None)
-def sentence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("components", f"{_REACHED} SELECT node, component FROM c")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share any sentence, directly or through others, by normalised sentences of the whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shared = docs.select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence")).select("doc_id", text.pair_key(F.col("sentence")).alias("key")).where("key <> ''")
@@ -143,11 +145,14 @@ def sentence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-@query("sentence_component_split", None)
-def sentence_component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    "component_split",
+    f"{_REACHED} SELECT node AS doc_id, CASE WHEN CAST('0x' || substr(md5('7:' || CAST(component AS VARCHAR)), 1, 8) AS BIGINT) < CAST(0.3 * 4294967296 AS BIGINT) THEN 'validation' ELSE 'fit' END AS part FROM c",
+)
+def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one component of shared sentences go to one side."""
     held = selection.hash_split(F.col("component").cast("string"), 0.3, seed=7)
-    return sentence_components(spark, sf_dir).select(F.col("node").alias("doc_id"), F.when(held, "validation").otherwise("fit").alias("part"))
+    return components(spark, sf_dir).select(F.col("node").alias("doc_id"), F.when(held, "validation").otherwise("fit").alias("part"))
 
 
 @query(

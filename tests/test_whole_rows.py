@@ -36,7 +36,7 @@ def test_components_of_shared_sentences(spark, tmp_path):
     start = "This beginning is longer than forty characters in all documents"
     texts = [f"{start} one. A b c.", "A  B C. D e f!", "G h i. d e f!", f"{start} two. J k l.", "", None, "M n o. Nobody shares it."]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.node: r.component for r in catalogue.QUERIES["sentence_components"](spark, str(tmp_path)).collect()}
+    found = {r.node: r.component for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()}
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
-    sides = {r.doc_id: r.part for r in catalogue.QUERIES["sentence_component_split"](spark, str(tmp_path)).collect()}
+    sides = {r.doc_id: r.part for r in catalogue.QUERIES["component_split"](spark, str(tmp_path)).collect()}
     assert len(sides) == len(texts) and len({sides[i] for i in (0, 1, 2)}) == 1
