@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tessera.functions import lexicons, text
 
 COPULAS = ("am", "is", "are", "was", "were")
+PERFECT = ("have", "has", "had")
 MODALS = tuple(lexicons.MODALITY)
 SUBJECTS = ("i", "you", "he", "she", "it", "we", "they")
 PIECE = re.compile(r"\w+(?:['’]\w+)*|[^\w\s]")
@@ -31,7 +32,9 @@ def _negate_aux(tokens: list[str], low: list[str]) -> Iterator[Made]:
     """not after the first auxiliary of a sentence without a cue; can not is written cannot."""
     if any(w in lexicons.EXPLICIT_CUES for w in low):
         return
-    at = next((i for i, w in enumerate(low) if w in COPULAS or w in MODALS), None)
+    participle = {row[2] for row in lexicons.IRREGULAR_VERBS}
+    perfect = lambda i: low[i] in PERFECT and i + 1 < len(low) and (low[i + 1].endswith("ed") or low[i + 1] in participle)
+    at = next((i for i, w in enumerate(low) if w in COPULAS or w in MODALS or perfect(i)), None)
     if at is None or at == 0:
         return
     kind = "copula" if low[at] in COPULAS else "existing_aux"
@@ -73,6 +76,16 @@ def _swap_quantifier(tokens: list[str], low: list[str]) -> Iterator[Made]:
         yield "quantifier_swap", "quantifier", f"{w}_to_{to.split()[0]}", "negate", _join([*tokens[:i], text_case(to, tokens[i]), *tokens[i + skip :]]), [to]
 
 
+def _inflected(lemma: str, tag: str) -> str:
+    """A lemma as VBP, VBZ or VBD."""
+    if tag == "VBD":
+        regular = lemma + "d" if lemma.endswith("e") else lemma[:-1] + "ied" if re.search("[^aeiou]y$", lemma) else lemma + lemma[-1] + "ed" if re.search("[^aeiou][aeiou][^aeiouwxy]$", lemma) else lemma + "ed"
+        return {row[0]: row[1] for row in lexicons.IRREGULAR_VERBS}.get(lemma, regular)
+    if tag == "VBZ":
+        return {"be": "is", "have": "has"}.get(lemma) or (lemma[:-1] + "ies" if re.search("[^aeiou]y$", lemma) else lemma + "es" if re.search("(?:s|x|z|ch|sh|o)$", lemma) else lemma + "s")
+    return lemma
+
+
 def text_case(word: str, model: str) -> str:
     return word[:1].upper() + word[1:] if model[:1].isupper() else word
 
@@ -92,7 +105,11 @@ def _insert_adverb(tokens: list[str], low: list[str]) -> Iterator[Made]:
 def _affirm(tokens: list[str], low: list[str]) -> Iterator[Made]:
     """Takes out exactly one negator: not, n't and cannot, quantifiers, adverbs."""
     for i, w in enumerate(low):
-        if w == "not":
+        if w == "not" and i and low[i - 1] in lexicons.DO_FORM_TAGS and i + 1 < len(low) and low[i + 1].isalpha():
+            # the do goes too, and the verb gets its tense back
+            verb = _inflected(low[i + 1], lexicons.DO_FORM_TAGS[low[i - 1]])
+            yield "strip_not", "syntactic", "collapse_do_support", "affirm", _join([*tokens[: i - 1], text_case(verb, tokens[i - 1]), *tokens[i + 2 :]]), []
+        elif w == "not":
             yield "strip_not", "syntactic", "not", "affirm", _join(tokens[:i] + tokens[i + 1 :]), []
         elif w == "cannot":
             yield "strip_not", "syntactic", "cannot", "affirm", _join([*tokens[:i], text_case("can", tokens[i]), *tokens[i + 1 :]]), []
@@ -154,6 +171,7 @@ def tagged(made: DataFrame) -> DataFrame:
 
 
 def run(sentences: DataFrame, id_col: str = "base_id", text_col: str = "sentence") -> DataFrame:
-    """The variants that pass all filters, with net_negation: parity of cues after the operation."""
+    """The variants that pass all filters, with net_negation: overt cues after the operation, 2 at most."""
     kept = tagged(generate(sentences, id_col, text_col)).where("drop_reason IS NULL").drop("drop_reason", "gen_ord")
-    return kept.withColumn("net_negation", F.size("cue_tokens"))
+    # overt cues of the variant: those that it brings and those that stay
+    return kept.withColumn("net_negation", F.least(F.size(F.filter(text.words(F.col("variant")), lambda w: w.isin(lexicons.EXPLICIT_CUES) | w.endswith("n't"))), F.lit(2)))

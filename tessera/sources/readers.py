@@ -44,8 +44,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = VARIANT)
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """JSON lines, one file per partition; nulls are left out."""
-    records.write.mode("overwrite").json(path)
+    """JSON lines, one file per partition; nulls are written, as an open judgement is one."""
+    records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_blind(items: DataFrame, blind: str, rest: str, shown: tuple[str, ...] = ("id", "a", "b")) -> None:
