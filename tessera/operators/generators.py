@@ -7,6 +7,7 @@ order in which their variants win against equal later ones.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -561,7 +562,14 @@ RULES = [
 
 def candidates(held: DataFrame, relation: P.Antonyms | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """analysed() rows with gen_ord, cand_ord and made (a candidate), one row for each candidate of the rules."""
-    s = Sentence(lexicons.prefixed_antonyms() if relation is None else relation)
+    every = _every(tuple(RULES if rules is None else rules), tuple(lexicons.prefixed_antonyms() if relation is None else relation))
+    return held.withColumn("x", F.explode(every)).select("*", "x.*").drop("x")
+
+
+@functools.lru_cache(8)
+def _every(rules: tuple[Rule, ...], relation: tuple[tuple[str, str, str], ...]) -> Column:
+    """The candidates of all rules as one array; it is large, so it is put together once."""
+    s = Sentence(list(relation))
     nothing = F.array().cast(CANDIDATES)
 
     def numbered(rule: Rule, place: int) -> Column:
@@ -569,8 +577,7 @@ def candidates(held: DataFrame, relation: P.Antonyms | None = None, rules: list[
         found = F.coalesce(F.when(licensed, rule.build(rule, s)), nothing)
         return F.transform(found, lambda c, n: F.struct(F.lit(place).alias("gen_ord"), n.alias("cand_ord"), c.alias("made")))
 
-    every = [numbered(rule, k) for k, rule in enumerate(RULES if rules is None else rules)]
-    return held.withColumn("x", F.explode(F.concat(*every))).select("*", "x.*").drop("x")
+    return F.concat(*[numbered(rule, k) for k, rule in enumerate(rules)])
 
 
 def generate(sentences: DataFrame, relation: P.Antonyms | None = None, stages: tuple[int, ...] = (1, 2), rules: list[Rule] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.functions import text
 from tessera.operators import selection
+from tessera.operators.statistics import hashed_places
 from tessera.plans.metric_queries import CURVE, SCORED, scored
 from tessera.plans.pair_queries import OVERLAP, PAIRS, pairs
 from tessera.plans.registry import query
@@ -131,8 +132,7 @@ def cross_topic_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, last in order. The SQL states the same only where no source is larger than the next and none is null.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    order = W.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    placed = docs.withColumn("n", F.row_number().over(order))
+    placed = hashed_places(docs, "source", F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "n")
     names = docs.select("source").distinct()
     ranked = names.withColumn("k", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1)  # one row per source
     m = ranked.agg(F.count("*").alias("m"))
