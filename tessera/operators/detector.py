@@ -167,3 +167,8 @@ def evaluation(rows: DataFrame, threshold: float) -> DataFrame:
     part = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, "dataset").when(F.col("g") == 5, "kind").otherwise("neg_type")
     value = F.when(F.col("g") == 7, "all").otherwise(F.coalesce("dataset", "kind", "neg_type"))
     return sets.select(part.alias("part"), value.alias("value"), "n", "accuracy", "fpr", "recall").where("value IS NOT NULL")
+
+
+def override(cancels_ab: Column, cancels_ba: Column, by_antonym: Column) -> Column:
+    """Whether a pair is no negation whatever the model says: either side cancels its own, or an antonym cancels the negator."""
+    return cancels_ab | cancels_ba | by_antonym

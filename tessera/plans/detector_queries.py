@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import lexicons, polarity as Y
-from tessera.operators import detector as D, pairs as R
+from tessera.operators import detector as D, pairs as R, polarity_fit
 from tessera.plans.parsed_fixtures import SENTENCES
 from tessera.plans.parsed_queries import RELATION, values
 from tessera.plans.registry import query
@@ -220,3 +220,32 @@ def error_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     begins = spark.createDataFrame([(b,) for b in _BUCKETS], "begin string")
     found = rows.select(D.error_bucket({n: F.col(n) for n in names}).alias("bucket"))
     return found.join(F.broadcast(begins), F.startswith("bucket", "begin")).groupBy(F.col("begin").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "polarity_gate",
+    f"""WITH {SCORED}, d AS (SELECT label, cos, abs(0.9 * label - 0.1 * len_a / 30) AS delta FROM p), g AS (SELECT DISTINCT unnest(quantile_cont(cos, [{', '.join(str(round(0.05 * k, 2)) for k in range(20))}])) AS gate FROM d),
+        s AS (SELECT gate, label, CASE WHEN cos >= gate THEN round(delta, 9) ELSE 0 END AS score FROM d, g),
+        a AS (SELECT x.gate, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS auc FROM s x JOIN s y ON x.gate = y.gate AND x.label = 1 AND y.label = 0 GROUP BY x.gate)
+        SELECT round(gate, 9) AS gate, round(auc, 6) AS auc FROM a ORDER BY round(auc, 9) DESC, gate LIMIT 1""",
+)
+def polarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate on the cosine behind which differences of polarity separate negations best."""
+    rows = pairs(spark).withColumn("delta", F.col("label") * 0.9 - F.col("len_a") * 0.1 / 30)
+    return polarity_fit.fit_gate(rows).select(F.round("gate", 9).alias("gate"), F.round("auc", 6).alias("auc"))
+
+
+@query(
+    "override_mask",
+    "SELECT * FROM (VALUES ('0', '37', true), ('37', '0', true), ('12', '56', false), ('13', '14', false), ('0', '32', false)) t(a, b, override)",
+)
+def override_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that no model may call a negation, as one side cancels its own and both have the same parity."""
+    held = noted_sentences(spark, SENTENCES)
+    held = held.select("sent_id", "tok", Y.analysis(RELATION, F.col("tok"), F.col("text")).alias("cues"))
+    side = lambda x: held.select(F.col("sent_id").alias(x), F.col("tok").alias(f"{x}_tok"), F.col("cues").alias(f"{x}_cues"))
+    asked = spark.createDataFrame([("0", "37"), ("37", "0"), ("12", "56"), ("13", "14"), ("0", "32")], "a string, b string")
+    rows = asked.join(side("a"), "a").join(side("b"), "b").withColumn("found", R.diff(F.col("a_tok"), F.col("b_tok")))
+    a, b = F.col("a_cues"), F.col("b_cues")
+    by_antonym = R.not_antonym_cancels(RELATION, F.col("a_tok"), F.col("b_tok"), F.col("found"))
+    return rows.select("a", "b", D.override(Y.cancellation_detected(a, b), Y.cancellation_detected(b, a), by_antonym).alias("override"))

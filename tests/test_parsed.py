@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.functions import cues, lexicons, parsed as P, polarity as Y
-from tessera.operators import antonym_vectors, detector, filters, generators, pairs, splice, variants, verification
+from tessera.operators import antonym_vectors, detector, filters, generators, pairs, polarity_fit, splice, variants, verification
 from tessera.plans.parsed_fixtures import ANTONYMS, SENTENCES
 from tessera.sources import corpora, parses
 
@@ -90,6 +90,15 @@ def test_a_negator_and_an_antonym_cancel(spark):
     assert not rows.select(pairs.antonym_aligned(relation, F.col("found"))).first()[0]
 
 
+def test_weights_are_fitted_to_the_area(spark):
+    cue = "array<struct<text:string,family:string,clause:int,main_clause:boolean,hedged:boolean,intensified:boolean>>"
+    make = lambda family: [("x", family, 0, True, False, False)]
+    rows = [(make("A_syntactic"), [], 0.9, 1), (make("A_syntactic"), [], 0.8, 1), (make("D_affixal"), [], 0.9, 0), (make("D_affixal"), [], 1.0, 0), ([], [], 0.9, 0)]
+    table = spark.createDataFrame(rows, f"b_cues {cue}, a_cues {cue}, cos double, label int")
+    families, _, trace = polarity_fit.fit_weights(table, 1, {"A_syntactic": 0.5, "D_affixal": 1.0}, {"neutral": 0.9})
+    assert trace == [0.3333, 1.0] and families["A_syntactic"] * 0.8 > families["D_affixal"]
+
+
 def test_conditionals_of_connectives(spark):
     text = lambda m: f"{m} it_PRP_nsubj_4 rains=rain_VBZ_advcl_7 we_PRP_nsubj_7 will_MD_aux_7 stay_VB_ROOT_7 ~._._punct_7"
     rows = parses.noted_sentences(spark, [text("Even_RB_advmod_4 if_IN_mark_4"), text("As_IN_advmod_4 if_IN_mark_4"), text("Well_RB_advmod_4 unless_IN_mark_4")])
