@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.functions import text
-from tessera.operators import selection
 from tessera.operators.statistics import hashed_places
 from tessera.plans.metric_queries import CURVE, SCORED, scored
 from tessera.plans.pair_queries import OVERLAP, PAIRS, pairs
