@@ -29,9 +29,9 @@ from tessera.llm._common import as_text, ranges, runs
 BLANK = 0x2581
 OWN_BLANK = 0x110000
 #: Characters sampled at once.
-GROUP = 1 << 19
+GROUP = 1 << 18
 #: Places of filtered words kept by a worker, but for those of one group; beyond that it forgets them.
-KEPT = 1 << 20
+KEPT = 1 << 18
 WORDS = regex.compile(" +[^ ]*|[^ ]+")
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
