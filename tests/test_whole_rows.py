@@ -67,3 +67,9 @@ def test_first_wins_dedup_of_odd_texts(spark, tmp_path):
     texts = ["Version 2.0. Version 2. Version 2.", "ﬁne. fine. ﬁne", "x². x2. X²", "été. été. ÉTÉ", "ΟΔΟΣ. οδοσ. οδος", "İz. iz", "... . ?", "日本、語. 日本 語"]
     ours, theirs = _beside_sql(spark, tmp_path, "first_wins_dedup", [(i, lang, t) for lang in ("en", None) for i, t in enumerate([*texts, *SPACED])])
     assert ours == theirs
+
+
+def test_base_ids_of_odd_texts(spark, tmp_path):
+    rows = [(i, "en", t) for i, t in enumerate([*SPACED, "a. " * 100_002])] + [(100, "de", "Nein."), (101, None, "0 and 1.")]
+    ours, theirs = _beside_sql(spark, tmp_path, "sentence_base_id", rows)
+    assert ours == theirs and len(ours) > 100_002
