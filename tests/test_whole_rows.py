@@ -73,3 +73,9 @@ def test_base_ids_of_odd_texts(spark, tmp_path):
     rows = [(i, "en", t) for i, t in enumerate([*SPACED, "a. " * 100_002])] + [(100, "de", "Nein."), (101, None, "0 and 1.")]
     ours, theirs = _beside_sql(spark, tmp_path, "sentence_base_id", rows)
     assert ours == theirs and len(ours) > 100_002
+
+
+def test_sentences_of_odd_texts(spark, tmp_path):
+    ours, theirs = _beside_sql(spark, tmp_path, "sentence_scan", list(zip(range(len(SPACED)), ["en", None] * 4, SPACED)))
+    assert ours == theirs
+    assert [s for d, _, s in ours if d == 0] == ["0 of 10 began", "1 came first, at 1", "22 were left at 2"]
