@@ -61,7 +61,10 @@ def spread_join(rows: DataFrame, known: DataFrame, key: str, total: int, n: str
 
     Keys of more than total / HOT rows, fewer than HOT by counting, are broadcast, so that their rows stay where they
     are; the others are joined by a shuffle in which no key has more than that part of all rows. The column n goes.
+    Whether there are such keys is looked up at once, so settle `known` before: without them the plan is one join.
     """
+    if (known.agg(F.max(n)).first()[0] or 0) * HOT <= total:
+        return rows.join(known.drop(n), key, how)
     hot = known.where(F.col(n) * HOT > total)
     cold = known.where(F.col(n) * HOT <= total).drop(n)
     held = rows.join(F.broadcast(hot.drop(n)), key)

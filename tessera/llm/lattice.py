@@ -309,7 +309,7 @@ def vector_groups(
     groups = connected_components(links.where("b IS NOT NULL").select("a", "b"))
     known = settled(classes.select("key", "node", "least", "weight").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
     n_classes = known.count()
-    least_of = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    least_of = settled(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     rated = spread_join(known, least_of, "root", n_classes).join(counts, "node", "left")
     rated = settled(rated.select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.col("weight").alias("n")))
     out = spread_join(marked.where("key IS NOT NULL").select("id", "key"), rated, "key", marked.count()).select("id", "n_links", "component_id")

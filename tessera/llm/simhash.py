@@ -151,7 +151,7 @@ def simhash_groups(
     groups = settled(connected_components(link_forest(classes.select("fp"), radius, tile)).withColumnRenamed("node", "fp"))
     # only classes that link are looked up; of a component's least id there is one row
     roots = settled(classes.drop("n").join(groups, "fp"))
-    least = roots.groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("n"))
+    least = settled(roots.groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("n")))
     moved = spread_join(roots, least, "root", groups.count()).select("fp", "group_least")
     known = settled(classes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"), "n"))
     return spread_join(marked, known, "fp", marked.count()).select(F.col("id").alias(id_col), "fp", "component_id")

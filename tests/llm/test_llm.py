@@ -12,6 +12,7 @@ from pyspark.sql import functions as F, types as T
 
 from tessera.llm import html_text, language, lattice, mixing, neighbours, pieces, sharding, simhash, token_counts, toxicity
 from tessera.llm._xxh64 import xxh64
+from tessera.llm import components
 from tessera.llm.components import connected_components
 
 PIECES, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -291,6 +292,23 @@ def test_links_against_all_pairs(spark, tile):
     assert sorted(map(sorted, wanted.values())) == sorted(map(sorted, got.values()))
 
 
+def test_rounds_of_components_are_small_plans(spark, monkeypatch):
+    exchanges, settled = [], components.settled
+
+    def seen(df):
+        out = settled(df)
+        exchanges.append(df._jdf.queryExecution().sparkPlan().toString().count("Join") + df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return out
+
+    monkeypatch.setattr(components, "settled", seen)
+    hub = [(0, i) for i in range(1, 40)]
+    rows = hub + [(i + 1, i) for i in range(100, 130)] + [(200, 200), (None, 1), (301, 300), (300, 301)]
+    found = connected_components(spark.createDataFrame(rows, "a long, b long"))
+    wanted = {i: 0 for i in range(40)} | {i: 100 for i in range(100, 131)} | {300: 300, 301: 300}
+    assert sorted((r.node, r.root) for r in found.collect()) == sorted(wanted.items())
+    assert len(exchanges) > 8 and max(exchanges) <= 16, exchanges  # a plan over a plan has dozens
+
+
 def test_simhash_of_odd_rows(odd, none):
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == len(ODD)
