@@ -5,13 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from tessera.llm import html_text, language, lattice, mixing, neighbours, pieces, sharding, simhash, token_counts, toxicity
-from tessera.llm._xxh64 import xxh64
+from tessera.llm import components, html_text, language, lattice, mixing, neighbours, pieces, sharding, simhash, token_counts, toxicity
 from tessera.llm import components
 from tessera.llm.components import connected_components
 
@@ -431,3 +431,21 @@ def test_pipeline_runs_stage_by_stage(spark):
             assert docs.columns == columns
     assert sizes[0] >= 0.95 * n and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[4] == sizes[3]
     assert docs.where("NOT lossless").isEmpty()
+
+
+def test_stages_send_small_batches_to_python(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word "), 1400).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    try:
+        corpus_pipeline.encode_pieces(spark, docs, "")
+        seen = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in seen) == 2000 and max(r.size for r in seen) < 1.2 * corpus_pipeline.BATCH
+    finally:
+        spark.conf.unset(key)
